@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .bpe import op10_bpe
+    from .decontaminate import op2_decontaminate
+    from .host_rules import op8_host_rules
     from .langid import op3_langid
+    from .quality_fm import op7_quality_fm
 
-    return {"op3_langid": op3_langid, "op10_bpe": op10_bpe}
+    found = [op2_decontaminate, op3_langid, op7_quality_fm, op8_host_rules, op10_bpe]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate, host_rules
+
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL}

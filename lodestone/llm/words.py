@@ -50,11 +50,18 @@ def keep_table(keep: np.ndarray, fold: bool) -> np.ndarray:
 
 
 def spaces_table(fold: bool) -> np.ndarray:
-    """Words ``[^\\x20\\x09-\\x0D]+``; byte 0 counts as part of a word and is coded 1."""
+    """Words ``[^\\x20\\x09-\\x0D]+``; byte 0 is part of a word and gets the space's code."""
     keep = np.ones(256, bool)
     keep[[0x20, *range(0x09, 0x0E)]] = False
     table = keep_table(keep, fold)
-    table[0] = 1
+    table[0] = 0x20
+    return table
+
+
+def lines_table() -> np.ndarray:
+    """Non-empty lines; byte 0 gets the line feed's code."""
+    table = np.arange(256, dtype=np.uint8)
+    table[0], table[0x0A] = 0x0A, 0
     return table
 
 
