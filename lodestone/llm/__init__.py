@@ -11,16 +11,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .bpe import op10_bpe
     from .decontaminate import op2_decontaminate
     from .host_rules import op8_host_rules
+    from .jaccard_join import op5_jaccard_join
     from .langid import op3_langid
     from .pii import op1_pii
     from .quality_fm import op7_quality_fm
     from .url_filter import op4_url_filter
 
-    found = [op1_pii, op2_decontaminate, op3_langid, op4_url_filter, op7_quality_fm, op8_host_rules, op10_bpe]
+    found = [op1_pii, op2_decontaminate, op3_langid, op4_url_filter, op5_jaccard_join, op7_quality_fm, op8_host_rules, op10_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, host_rules, pii, url_filter
-
-    return {"op1_pii": pii.ORACLE_SQL, "op2_decontaminate": decontaminate.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL}
+    from . import decontaminate, host_rules, jaccard_join, pii, url_filter
+
+    return {
+        "op1_pii": pii.ORACLE_SQL,
+        "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op4_url_filter": url_filter.ORACLE_SQL,
+        "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op8_host_rules": host_rules.ORACLE_SQL,
+    }
