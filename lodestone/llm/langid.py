@@ -103,8 +103,8 @@ class CrossParser:
     def dense(self, step: list[dict[int, int]], width: int) -> np.ndarray:
         """For state and byte: (offset of the next state's row) * 2, plus 1 where a new phrase starts.
 
-        The state after the last one is reached by a byte that the sample lacks; every byte starts a
-        phrase there.
+        The state after the last one is reached by a byte that the sample lacks, and texts begin there:
+        every byte starts a phrase.
         """
         dead = len(step)
         root = np.full(width, dead, np.int64)
@@ -136,15 +136,13 @@ class CrossParser:
         for i in range(steps):
             lined[i, : active[i]] = columns[start[: active[i]] + i]
         for k, table in enumerate(self.tables):
-            at = np.zeros(len(doc), np.int32)
-            new = np.ones(len(doc), np.int64)
+            at = np.full(len(doc), len(table) - len(self.letters) - 1, np.int32)  # the state after nothing
+            new = np.zeros(len(doc), np.int64)
             for i in range(steps):
                 n = active[i]
                 to = table[at[:n] + lined[i, :n]]
                 new[:n] += to & 1
                 at[:n] = to >> 1
-            if (first := lined[0] == len(self.letters)).any():  # such a byte is the first phrase itself
-                new[first] -= 1
             out[:, k] = np.bincount(doc, new, len(sizes)).astype(np.int64)
         return out
 
