@@ -8,13 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Longs in one Bloom block (256 bits: a key touches one block only).
-WORDS_PER_BLOCK = 4
-BITS_PER_KEY = 12
-PROBES = 6
-#: The filter never has more blocks than this (2.5 MB of longs), whatever the list's size,
-#: so that broadcasting it is safe; a longer list raises the false positive rate only.
-MAX_BLOCKS = 1 << 16
+#: A Bloom block is one long, so a key is looked up by one read and one comparison.
+BITS_PER_KEY = 24
+PROBES = 4
+#: The filter never has more blocks than this (2 MB of longs), whatever the list's size, so that
+#: broadcasting it is safe; a longer list raises the false positive rate only.
+MAX_BLOCKS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,50 +43,37 @@ def discard(df: DataFrame) -> None:
 
 
 def bloom_blocks(keys: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
-    """Blocked Bloom filter of ``keys[key]``: a table (block, w0..w3) and its number of blocks.
+    """Blocked Bloom filter of ``keys[key]``: a table (block, bits) and its number of blocks.
 
     ``count`` is the number of keys. The table is at most ``MAX_BLOCKS`` rows.
     """
     blocks = 1
-    while blocks < min(MAX_BLOCKS, max(1, count) * BITS_PER_KEY // (64 * WORDS_PER_BLOCK) + 1):
+    while blocks < min(MAX_BLOCKS, max(1, count) * BITS_PER_KEY // 64 + 1):
         blocks *= 2
-    masks = _masks(F.col(key))
-    table = (
-        keys.filter(F.col(key).isNotNull())
-        .select(_block(F.col(key), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(masks)])
-        .groupBy("block")
-        .agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS_PER_BLOCK)])
-    )
+    hashed = keys.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    table = hashed.select(_block(F.col("h"), blocks).alias("block"), _mask(F.col("h")).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
     return table, blocks
 
 
 def bloom_mark(df: DataFrame, key: str, table: DataFrame, blocks: int, flag: str) -> DataFrame:
     """Add boolean ``flag``: false only where ``df[key]`` is certainly not in the filter."""
-    spare = [f"__bloom_{x}" for x in ("block", *range(WORDS_PER_BLOCK))]
-    small = F.broadcast(table.toDF(*spare))
-    hit = F.lit(True)
-    for word, mask in zip(spare[1:], _masks(F.col(key)), strict=True):
-        hit = hit & (F.col(word).bitwiseAND(mask) == mask)
-    marked = df.join(small, _block(F.col(key), blocks) == F.col(spare[0]), "left")
-    return marked.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*spare)
-
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _masks(key: Column) -> list[Column]:
-    """For each of the block's longs, the bits of this key."""
-    seed = F.xxhash64(key, F.lit(7))
-    out = []
-    for i in range(WORDS_PER_BLOCK):
-        mask = F.lit(0).cast("long")
-        for probe in range(PROBES):
-            at = F.shiftrightunsigned(seed, 8 * probe).bitwiseAND(F.lit(255))
-            mask = mask.bitwiseOR(F.when((at / 64).cast("int") == i, _bit(at)).otherwise(F.lit(0).cast("long")))
-        out.append(mask)
-    return out
-
-
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    small = F.broadcast(table.toDF("__block", "__bits"))
+    hashed = df.withColumn("__hash", F.xxhash64(key))
+    marked = hashed.join(small, _block(F.col("__hash"), blocks) == F.col("__block"), "left")
+    mask = _mask(F.col("__hash"))
+    return marked.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False))).drop("__block", "__bits", "__hash")
+
+
+def _block(h: Column, blocks: int) -> Column:
+    """From the low bits."""
+    return h.bitwiseAND(F.lit(blocks - 1)).cast("int")
+
+
+def _mask(h: Column) -> Column:
+    """PROBES bits of a long, from six high bits of the hash each."""
+    one = F.lit(1).cast("long")
+    mask = F.lit(0).cast("long")
+    for probe in range(PROBES):
+        at = F.shiftrightunsigned(h, 58 - 6 * probe).cast("int").bitwiseAND(F.lit(63))
+        mask = mask.bitwiseOR(F.call_function("shiftleft", one, at))
+    return mask
