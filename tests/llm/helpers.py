@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = ("documents", "benchmark", "pages", "labels")
 
@@ -40,5 +42,6 @@ def same(result, expected, key):
     a = result.toPandas()
     assert sorted(a.columns) == sorted(expected.columns)
     cols = sorted(a.columns)
-    plain = lambda df: sorted(map(str, (tuple(None if x != x else x for x in r) for r in df[cols].astype(object).where(df[cols].notna(), None).values.tolist())))
+    one = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x
+    plain = lambda df: sorted(str([one(x) for x in r]) for r in df[cols].astype(object).values.tolist())
     assert plain(a) == plain(expected)
