@@ -15,19 +15,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .langid import op3_langid
     from .pii import op1_pii
     from .quality_fm import op7_quality_fm
+    from .token_counts import op9_token_counts
+    from .tool_calls import op6_tool_calls
     from .url_filter import op4_url_filter
 
-    found = [op1_pii, op2_decontaminate, op3_langid, op4_url_filter, op5_jaccard_join, op7_quality_fm, op8_host_rules, op10_bpe]
+    found = [op1_pii, op2_decontaminate, op3_langid, op4_url_filter, op5_jaccard_join, op6_tool_calls, op7_quality_fm, op8_host_rules, op9_token_counts, op10_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, host_rules, jaccard_join, pii, url_filter
+    from . import decontaminate, host_rules, jaccard_join, pii, tool_calls, url_filter
 
     return {
         "op1_pii": pii.ORACLE_SQL,
         "op2_decontaminate": decontaminate.ORACLE_SQL,
         "op4_url_filter": url_filter.ORACLE_SQL,
         "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op6_tool_calls": tool_calls.ORACLE_SQL,
         "op8_host_rules": host_rules.ORACLE_SQL,
     }
