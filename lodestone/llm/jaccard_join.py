@@ -10,11 +10,14 @@ its first s - ceil(0.75 s) + 1 tokens with each set that it links to. Light sets
 to link with a heavy one are put into these lists too. The boundary is the one with the least cost over
 the corpus' set sizes (``choose_boundary``). The token order comes from counts over all documents.
 
-Pairs inside a list are never enumerated wholesale. Each list has a leader, its smallest node; members
-are first compared with their leaders, which joins a group of m near copies by m comparisons. Only
+Pairs inside a list are never enumerated wholesale. Each list has a leader, the node with the smallest
+share of rare tokens: copies of a text add rare tokens to it, so this is the text itself or the least
+changed copy. Members are first compared with their leaders, which joins a group of m near copies by m
+comparisons, even if the copies are linked through the text alone. Only
 members of one list that are then in different components are compared with each other, and not even
-these if the triangle inequality of the Jaccard distance, over the distances to their leader, rules a
-link out. All links between different components are thus found, and components are exact.
+these if the tokens after the shared one are too few for a link, or if the triangle inequality of the
+Jaccard distance, over the distances to their leader, rules one out. All links between different
+components are thus found, and components are exact.
 
 Hashes have 64 bits; a clash of two nodes' digests is detected by a second digest and raises ValueError
 (take another ``seed``). Null or empty texts have no set, link with nothing and are their own component.
@@ -44,7 +47,7 @@ PERCENT = 75
 MAX_BOUNDARY = 12
 #: Token counts: shingles a counting group, shingles a task holds before it writes, fewest documents of a
 #: token to be ordered by its count, and most tokens so ordered (8 bytes each are broadcast).
-GROUP, HOLD, MIN_COUNT, MAX_COUNTED = 2_000_000, 4_000_000, 4, 1 << 20
+GROUP, HOLD, MIN_COUNT, MAX_COUNTED = 2_000_000, 4_000_000, 4, 1 << 19
 #: Sets that a task remembers having written, so that copies within it are written once.
 REMEMBER = 200_000
 
@@ -209,9 +212,10 @@ class TokenOrder:
         self.keys, self.counts = keys[order].astype(np.uint32), counts[order].astype(np.uint32)
         self.coarse: np.ndarray | None = None
 
-    def prefix(self, elements: np.ndarray, length: int) -> np.ndarray:
+    def find(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which elements are counted, and their counts."""
         if not len(self.keys):
-            return elements[:length]
+            return np.empty(0, np.int64), self.counts
         if self.coarse is None:  # once in each worker
             self.coarse = np.zeros(1 << 24, bool)
             self.coarse[self.keys >> np.uint32(8)] = True
@@ -219,43 +223,52 @@ class TokenOrder:
         maybe = np.flatnonzero(self.coarse[key >> np.uint32(8)])
         at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
         hit = self.keys[at] == key[maybe]
-        counted, at = maybe[hit], at[hit]
+        return maybe[hit], self.counts[at[hit]]
+
+    @staticmethod
+    def prefix(elements: np.ndarray, length: int, counted: np.ndarray, counts: np.ndarray) -> np.ndarray:
         free = np.ones(len(elements), bool)
         free[counted] = False
         first = elements[free][:length]
         if len(first) == length:
             return first
-        late = counted[np.lexsort((elements[counted], self.counts[at]))]
+        late = counted[np.lexsort((elements[counted], counts))]
         return np.concatenate([first, elements[late[: length - len(first)]]])
 
 
 def _postings(texts: DataFrame, order: TokenOrder, boundary: int, seed: int) -> DataFrame:
-    """(tok, id, size): the prefix tokens and subset hashes of each node."""
+    """(tok, id, size, pos, odd): the prefix tokens of each node, with their places in its order, and its
+    subset hashes (place 0); and how many of 1000 of its tokens are rare."""
     shared = texts.sparkSession.sparkContext.broadcast(order)  # MAX_COUNTED entries
-    schema = T.StructType([T.StructField("tok", T.LongType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType())])
+    schema = T.StructType([T.StructField("tok", T.LongType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("odd", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, ranks = _Once(), shared.value
         choices = {(n, k): np.array(list(combinations(range(n), k)), np.int64) for n in range(1, boundary + 1) for k in subset_sizes(n, boundary)}
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), seed):
-                tokens, ids, sizes = [], [], []
+                tokens, ids, sizes, places, odd = [], [], [], [], []
                 for s in sets:
                     n = len(s)
                     if not n or not once(key := digest(s)):
                         continue
                     own = []
+                    counted, counts = ranks.find(s)
                     if n <= boundary:
                         mixed = mix(s + np.uint64(boundary))
                         own += [mix(mixed[choices[n, k]].sum(axis=1) + _LENGTH[k]) for k in subset_sizes(n, boundary)]
                     if in_lists(n, boundary):
-                        own.append(ranks.prefix(s, prefix_length(n)))
+                        own.append(ranks.prefix(s, prefix_length(n), counted, counts))
                     tokens += own
+                    places += [np.zeros(len(x), np.int32) for x in own[:-1]]
+                    if own:
+                        places.append((np.arange(len(own[-1])) * in_lists(n, boundary)).astype(np.int32))
                     written = sum(map(len, own))
                     ids.append(np.full(written, key, np.int64))
                     sizes.append(np.full(written, n, np.int32))
+                    odd.append(np.full(written, 1000 * (n - len(counted)) // n, np.int32))
                 if tokens:
-                    arrays = [np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes)]
+                    arrays = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (ids, sizes, places, odd))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[f.name for f in schema])
 
     return texts.select("text").mapInArrow(run, schema)
@@ -266,6 +279,12 @@ def _comparable(a: str, b: str) -> F.Column:
     return F.greatest(a, b) * PERCENT <= F.least(a, b) * 100
 
 
+def _reachable(a: str, a_pos: str, b: str, b_pos: str) -> F.Column:
+    """Whether the tokens from a shared one on are enough for a link; true at the first token that a pair shares."""
+    rest = F.least(F.col(a) - F.col(a_pos), F.col(b) - F.col(b_pos))
+    return rest * (100 + PERCENT) >= (F.col(a) + F.col(b)) * PERCENT
+
+
 def _linked(inter: str, a: str, b: str) -> F.Column:
     return F.col(inter) * 100 >= (F.col(a) + F.col(b) - F.col(inter)) * PERCENT
 
@@ -335,30 +354,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if kept + k > MAX_COUNTED:
             break
         least, kept = level, kept + k
-    chosen = counts.filter(F.floor(F.log2("n")) >= least).toPandas() if least is not None else None  # MAX_COUNTED rows at most
-    order = TokenOrder(*((chosen["key"].to_numpy(), chosen["n"].to_numpy()) if chosen is not None else (np.empty(0, np.int64), np.empty(0, np.int64))))
+    chosen = counts.filter(F.floor(F.log2("n")) >= least if least is not None else F.lit(False)).toArrow()  # MAX_COUNTED rows at most
+    order = TokenOrder(chosen.column("key").to_numpy(), chosen.column("n").to_numpy())
     boundary = choose_boundary(sizes, sum(s for _, _, s in levels) / max(total, 1))
 
-    by_token = Window.partitionBy("tok").orderBy("id")
+    by_token = Window.partitionBy("tok").orderBy("odd", "id")
     running = by_token.rowsBetween(Window.unboundedPreceding, 0)
     lists = _postings(texts, order, boundary, seed).select(
-        "tok", "id", "size", F.first("id").over(running).alias("leader"), F.first("size").over(running).alias("leader_size"), F.lag("id").over(by_token).alias("before")
+        "tok", "id", "size", "pos", *[F.first(c).over(running).alias(n) for c, n in (("id", "leader"), ("size", "leader_size"), ("pos", "leader_pos"))], F.lag("id").over(by_token).alias("before")
     )
     lists = materialize(lists.filter((F.col("id") != F.col("leader")) & (F.col("id") != F.col("before"))).drop("before"), "jaccard-lists")
 
-    stars = lists.filter(_comparable("size", "leader_size")).select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("leader").alias("b"), F.col("leader_size").alias("b_size")).distinct()
+    stars = lists.filter(_comparable("size", "leader_size") & _reachable("size", "pos", "leader_size", "leader_pos")).select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("leader").alias("b"), F.col("leader_size").alias("b_size")).distinct()
     stars = materialize(_compare(materialize(stars, "jaccard-stars"), texts, nodes, seed), "jaccard-star-links")
     first = connected_components(stars.filter(_linked("inter", "a_size", "b_size")), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("comp"))
     first = materialize(first, "jaccard-first")
 
     distance = 1 - F.col("inter") / (F.col("a_size") + F.col("b_size") - F.col("inter"))
     measured = stars.select(F.col("a").alias("id"), F.col("b").alias("leader"), distance.alias("d"))
-    members = lists.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(measured, ["id", "leader"], "left").select("tok", "id", "size", "comp", "d")
+    members = lists.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(measured, ["id", "leader"], "left").select("tok", "id", "size", "pos", "comp", "d")
     whole = Window.partitionBy("tok")
     mixed = members.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    x, y = mixed.toDF("tok", "a", "a_size", "a_comp", "a_d"), mixed.toDF("tok", "b", "b_size", "b_comp", "b_d")
+    x, y = mixed.toDF("tok", "a", "a_size", "a_pos", "a_comp", "a_d"), mixed.toDF("tok", "b", "b_size", "b_pos", "b_comp", "b_d")
     near = F.coalesce(F.abs(F.col("a_d") - F.col("b_d")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    cross = x.join(y, "tok").filter((F.col("a_comp") < F.col("b_comp")) & _comparable("a_size", "b_size") & near)
+    cross = x.join(y, "tok").filter((F.col("a_comp") < F.col("b_comp")) & _comparable("a_size", "b_size") & _reachable("a_size", "a_pos", "b_size", "b_pos") & near)
     cross = materialize(cross.select("a", "a_size", "b", "b_size", "a_comp", "b_comp").distinct(), "jaccard-cross")
     compared = _compare(cross.drop("a_comp", "b_comp"), texts, nodes, seed).filter(_linked("inter", "a_size", "b_size"))
     links = cross.join(compared.select("a", "b"), ["a", "b"]).select("a_comp", "b_comp")
