@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import frugal
+
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE = 500_000
+CACHE = 120_000
 END = "</w>"
 
 # Characters on which NFC does nothing, white space is the same for every library, and lower-casing
@@ -239,7 +241,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None =
                 ids, texts = pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids, texts], names=[*batch.schema.names, ids_col, decoded_col])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def bpe_decode(tokens: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, decoded_col: str = "decoded_text") -> DataFrame:
@@ -256,7 +258,7 @@ def bpe_decode(tokens: DataFrame, ids_col: str = "token_ids", vocabulary: str |
             texts = pa.array([encoder.decode(x or b"") for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, decoded_col])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

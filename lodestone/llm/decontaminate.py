@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import alnum_table, chunks, words
+from .words import alnum_table, chunks, frugal, words
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -374,7 +374,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
             if held:
                 yield from flush(held, shard)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(frugal(run), schema)
     return out
 
 

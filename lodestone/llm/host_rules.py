@@ -8,8 +8,9 @@ fitted to all hosts by the method of moments, and documents of hosts whose shrun
 
 A null text counts as empty: no words, so it fails. A null host has no verdict, so its documents are
 judged alone. Repeated rows each get a row. An empty table gives an empty result. Measures are written
-once to the shared folder; sums for each host are combined before they are shuffled, and a hot host
-reaches the join as one small row that Spark may broadcast by its measured size.
+once to the shared folder; sums for each host are combined before they are shuffled. Up to
+``BROADCAST_HOSTS`` hosts (they are counted) the verdicts are broadcast, so a hot host's documents are
+not shuffled; beyond that Spark joins by hash and splits skewed hosts.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spark_io import materialize
-from .words import chunks, lines_table, mix, spaces_table, windows, words
+from .words import chunks, frugal, lines_table, mix, spaces_table, windows, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected beyond this shrunk failure rate.
 HOST_LIMIT = 0.5
+BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -92,7 +94,7 @@ def measure_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     few = F.col("n_words") < MIN_WORDS
     repeated = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    return kept.mapInArrow(run, schema).withColumn("base_failed", few | repeated)
+    return kept.mapInArrow(frugal(run), schema).withColumn("base_failed", few | repeated)
 
 
 def judge_hosts(measured: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
@@ -117,7 +119,9 @@ def judge_hosts(measured: DataFrame, host_col: str = "source", limit: float = HO
 def apply_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """``docs`` without its text, with the MEASURES, base_failed, host_rejected and kept."""
     measured = materialize(measure_documents(docs, text_col), "rules")
-    hosts = judge_hosts(measured, host_col, limit).select(F.col(host_col).alias("__host"), "host_rejected")
+    hosts = materialize(judge_hosts(measured, host_col, limit).select(F.col(host_col).alias("__host"), "host_rejected"), "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
     joined = measured.drop("host_rejected", "kept").join(hosts, F.col(host_col) == F.col("__host"), "left").drop("__host")
     return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~(F.col("base_failed") | F.col("host_rejected")))
 

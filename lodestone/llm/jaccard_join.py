@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .spark_io import bloom_blocks, bloom_mark, discard, materialize
-from .words import SLOTS, chunks, mix, spaces_table, windows, words
+from .words import SLOTS, chunks, frugal, mix, spaces_table, windows, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -47,9 +47,9 @@ PERCENT = 75
 MAX_BOUNDARY = 12
 #: Token counts: shingles a counting group, shingles a task holds before it writes, fewest documents of a
 #: token to be ordered by its count, and most tokens so ordered (8 bytes each are broadcast).
-GROUP, HOLD, MIN_COUNT, MAX_COUNTED = 2_000_000, 4_000_000, 4, 1 << 19
+GROUP, HOLD, MIN_COUNT, MAX_COUNTED = 2_000_000, 1_000_000, 4, 1 << 19
 #: Sets that a task remembers having written, so that copies within it are written once.
-REMEMBER = 200_000
+REMEMBER = 100_000
 
 _TABLE = spaces_table(fold=True)
 #: Added to the hashes of short sequences and of subsets, by their length.
@@ -131,7 +131,7 @@ def _signatures(texts: DataFrame, seed: int) -> DataFrame:
                     made[2].append(len(s))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *[pa.array(m, pa.int64()) for m in made]], names=[f.name for f in schema])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(frugal(run), schema)
 
 
 class _Once:
@@ -201,7 +201,7 @@ def _token_counts(texts: DataFrame, total: int, seed: int) -> DataFrame:
         keep = n >= MIN_COUNT
         return pa.table({"key": pa.array(key[cuts][keep].astype(np.int64)), "n": pa.array(n[keep])})
 
-    return texts.select("text").mapInArrow(run, schema).groupBy("group").applyInArrow(count, "key long, n long")
+    return texts.select("text").mapInArrow(frugal(run), schema).groupBy("group").applyInArrow(count, "key long, n long")
 
 
 class TokenOrder:
@@ -271,7 +271,7 @@ def _postings(texts: DataFrame, order: TokenOrder, boundary: int, seed: int) ->
                     arrays = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (ids, sizes, places, odd))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[f.name for f in schema])
 
-    return texts.select("text").mapInArrow(run, schema)
+    return texts.select("text").mapInArrow(frugal(run), schema)
 
 
 def _comparable(a: str, b: str) -> F.Column:
@@ -308,7 +308,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, seed: int) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "elements"])
 
-    sets = some.mapInArrow(make, schema).groupBy("id").agg(F.first("elements").alias("elements"))
+    sets = some.mapInArrow(frugal(make), schema).groupBy("id").agg(F.first("elements").alias("elements"))
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "a_size", "b", "b_size", "x", "y")
@@ -326,7 +326,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, seed: int) ->
                 found.append(int((q[at] == p).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int32())], names=[f.name for f in out])
 
-    return both.mapInArrow(intersect, out)
+    return both.mapInArrow(frugal(intersect), out)
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import chunks
+from .words import chunks, frugal
 
 #: The labelled sample, for each language: rows, chosen by the hash of their ids, and characters of each
 #: row, from its middle.
 SAMPLE_ROWS = 48
 SAMPLE_CHARS = 480
 BLOCK = 1024
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bits per byte beyond which no language explains a text of at least ``REJECT_BYTES`` bytes: raw bytes
 #: are then as cheap.
 REJECT_BITS = 8.0
@@ -236,7 +236,7 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_co
             made = [pa.array(lang, pa.string()), pa.array(score), pa.array(bits, from_pandas=True), pa.array(sizes)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[f.name for f in new]])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
+    return kept.mapInArrow(frugal(run), T.StructType([*kept.schema.fields, *new]))
 
 
 def rejected() -> F.Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import alnum_table, chunks, words
+from .words import alnum_table, chunks, frugal, words
 
 BUCKETS = 1 << 13
 RANK = 8
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     out[1].append(values[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=[f.name for f in schema])
 
-    got = texts.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(run, schema)
+    got = texts.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(frugal(run), schema)
     got = got.groupBy("id").agg(F.min("label").alias("label"), F.min(F.struct("numbers", "values")).alias("x")).collect()
     got.sort(key=lambda r: r.id)
     rows = [(np.frombuffer(r.x.numbers, np.int32), np.frombuffer(r.x["values"], np.float32)) for r in got]
@@ -182,7 +182,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str =
             score = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(score, pa.float64())], names=[f.name for f in schema])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def held_out() -> F.Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .words import chunks, spaces_table, words
+from .words import chunks, frugal, spaces_table, words
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -153,7 +153,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         if held:
             yield from flush(held)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
