@@ -73,21 +73,27 @@ def schema_errors(value: Any, schema: dict, at: str = "") -> list[str]:
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level): topological levels over ``after``; null on and above cycles.
 
-    One join a level, over the edges whose calls are still open.
+    Each round fixes the calls whose dependencies are all fixed, and lets every edge skip over a call
+    that has a single dependency of its own, adding up the steps. A chain of n calls so takes log n rounds.
     """
     nodes = calls.filter(F.col("call_id").isNotNull()).select("call_id").distinct()
     edges = calls.filter(F.col("call_id").isNotNull()).select("call_id", F.explode("after").alias("dep")).distinct()
-    edges = materialize(edges.join(nodes.select(F.col("call_id").alias("dep")), "dep"), "call-edges")
-    done = materialize(nodes.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")), "call-levels")
-    known, total = done.count(), nodes.count()
-    while known < total:
-        met = edges.join(done.select(F.col("call_id").alias("dep"), "level"), "dep", "left").join(done.select("call_id"), "call_id", "left_anti")
-        ready = met.groupBy("call_id").agg((F.max("level") + 1).alias("level"), F.count(F.lit(1)).alias("n"), F.count("level").alias("k")).filter("n = k")
-        done = materialize(done.unionByName(ready.select("call_id", "level")), "call-levels")
-        if (now := done.count()) == known:
+    edges = materialize(edges.join(nodes.select(F.col("call_id").alias("dep")), "dep").select("call_id", "dep", F.lit(1).cast("long").alias("w")), "call-edges")
+    done = materialize(nodes.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "call-levels")
+    while edges.limit(1).count():
+        fixed = done.select(F.col("call_id").alias("dep"), "level")
+        single = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.first("dep").alias("next"), F.first("w").alias("more")).filter("n = 1").select(F.col("call_id").alias("dep"), "next", "more")
+        met = edges.join(fixed, "dep", "left").join(single, "dep", "left")
+        skips = F.col("level").isNull() & F.col("next").isNotNull()
+        met = met.select("call_id", F.when(skips, F.col("next")).otherwise(F.col("dep")).alias("dep"), F.when(skips, F.least(F.col("w") + F.col("more"), F.lit(1 << 50))).otherwise(F.col("w")).alias("w"), (F.col("level") + F.col("w")).alias("value"))
+        met = materialize(met.groupBy("call_id", "dep").agg(F.max("w").alias("w"), F.when(F.count("value") == F.count(F.lit(1)), F.max("value")).alias("value")), "call-met")
+        ready = met.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("k"), F.max("value").alias("level")).filter("n = k").select("call_id", "level")
+        ready = materialize(ready, "call-ready")
+        if not ready.limit(1).count():
             break
-        known = now
-    return nodes.join(done, "call_id", "left")
+        done = done.unionByName(ready)
+        edges = materialize(met.join(ready, "call_id", "left_anti").select("call_id", "dep", "w"), "call-edges")
+    return nodes.join(done, "call_id", "left").select("call_id", F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
