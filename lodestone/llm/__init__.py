@@ -13,13 +13,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .host_rules import op8_host_rules
     from .jaccard_join import op5_jaccard_join
     from .langid import op3_langid
-    from .pii import op1_pii
+    from .pii import op1_pii, op1_pii_any_support
     from .quality_fm import op7_quality_fm
     from .token_counts import op9_token_counts
     from .tool_calls import op6_tool_calls
     from .url_filter import op4_url_filter
 
-    found = [op1_pii, op2_decontaminate, op3_langid, op4_url_filter, op5_jaccard_join, op6_tool_calls, op7_quality_fm, op8_host_rules, op9_token_counts, op10_bpe]
+    found = [op1_pii, op2_decontaminate, op3_langid, op4_url_filter, op5_jaccard_join, op6_tool_calls, op7_quality_fm, op8_host_rules, op9_token_counts, op10_bpe, op1_pii_any_support]
     return {f.__name__: f for f in found}
 
 

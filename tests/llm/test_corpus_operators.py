@@ -106,6 +106,29 @@ def test_sanitised_texts(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def unique_rows():
+    """Copies of a document whose address and name stand nowhere else, among documents of common words."""
+    rng, v = random.Random(4), [w + "xx" for w in vocabulary(4, 30)]
+    rows = [(i, sentence(rng, 60, v)) for i in range(200)]
+    rare = [(300 + i, f"{sentence(rng, 30, v)} {c}quimbyzulu {c}@mail.example.com {sentence(rng, 30, v)}") for i, c in enumerate("abc")]
+    return rows + rare + [(i + 100, t) for i, t in rare]
+
+
+def test_entities_of_one_document_yield_terms_after_deduplication(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark, unique_rows())
+    once = pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    assert once.filter("text like '%zulu%'").count() == 3
+    clean = {r.doc_id: r.text for r in pipeline.sanitise_personal_data(spark, once, str(tmp_path)).collect()}
+    before = dict(unique_rows())
+    for i in (300, 301, 302):
+        assert "zulu" not in clean[i] and "[EMAIL]" in clean[i]
+        common = [w for w in before[i].split() if w.endswith("xx")]
+        assert [w for w in clean[i].split() if w.endswith("xx")] == common  # terms of many documents stay
+    folder = write(spark, tmp_path, documents=once)
+    assert pii.op1_pii_any_support(spark, folder).filter("spans like '%term%'").count() == 3
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     row = spark.createDataFrame([("ab 4111 cd",)], "t string")
     spans = F.expr("array(struct(3 start, 2 ord, 7 end, 'card' kind, '' value), struct(5 start, 3 ord, 9 end, 'phone' kind, '' value), struct(9 start, 4 ord, 10 end, 'term' kind, 'remove' value))")
