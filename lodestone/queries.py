@@ -232,7 +232,10 @@ def definition_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank, place and preview of the small documents whose ids the nearest rows have."""
+    """Rank, place and preview of the small documents whose ids the nearest rows have, as its SQL has it.
+
+    search_result_chunks leaves out no document.
+    """
     found = _index(spark, sf_dir).search(_asked(_rows(spark, sf_dir)), K)
     chunks = chunking.small_chunks(_documents_as_files(spark, sf_dir))
     chunks = chunks.withColumn("chunk_id", F.regexp_extract("file_path", "([0-9]+)", 1).cast("long"))
@@ -240,6 +243,19 @@ def search_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(joined).select("qid", "rank", F.col("file_path").alias("file"), chunking.line_range().alias("lines"), "similarity", "preview")
 
 
+def search_result_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, place and preview of all chunks of the documents whose ids the nearest rows have.
+
+    A long document has a row for each chunk; a hit whose document is blank or absent has a row without a file.
+    """
+    found = _index(spark, sf_dir).search(_asked(_rows(spark, sf_dir)), K)
+    chunks = chunking.chunk_files(_documents_as_files(spark, sf_dir).filter(F.col("file_path").isNotNull()))
+    chunks = chunks.withColumn("chunk_id", F.regexp_extract("file_path", "(-?[0-9]+)", 1).cast("long"))
+    joined = found.join(chunks, F.col("row_id") == F.col("chunk_id"), "left")
+    lines = F.when(F.col("chunk_id").isNotNull(), chunking.line_range())
+    return _rounded(joined).select("qid", "rank", F.col("file_path").alias("file"), lines.alias("lines"), "similarity", "preview")
+
+
 def file_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which paths of the pages' URLs a code search would skip."""
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -265,6 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_nested, medoid_row, kmeans_assign_once, kmeans_update_once, cluster_histogram_offsets, ivf_parameters, ivf_probe,
         ivf_candidates, ivf_search_label_centroids, recall_metrics, recall_summary, ivf_search_trained, chunk_small_documents,
         chunk_sliding_documents, definition_boundaries, search_result_lines, file_predicates, index_info,
+        search_result_chunks,
     ]
     return {f.__name__: f for f in found}
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluate, ivf, knn, results
+from lodestone import queries
+from lodestone.operators import chunking, evaluate, ivf, knn, results
 from lodestone.options import IndexOptions
 from lodestone.plans.index import VectorIndex
 from lodestone.sources import tables
@@ -175,3 +176,25 @@ def test_metrics_of_equal_and_of_empty_results(spark):
     assert all(r.overlap == 1 and r.ndcg == pytest.approx(1) and r.top1_match == 1 and r.rank_mae == 0 for r in same)
     none = evaluate.per_query(exact, exact.filter("qid = 1")).orderBy("qid").collect()
     assert none[0].overlap == 0 and none[0].ndcg == 0 and none[0].rank_mae is None
+
+
+def test_every_hit_has_its_chunks(spark, tmp_path):
+    r = np.random.default_rng(3)
+    rows = [(i, i % 3, [float(x) for x in r.normal(size=8)]) for i in range(45)]
+    long = "\n".join(f"line {i} of a long document" for i in range(600))
+    texts = {i: ["short\ntext", long, " \n", None, "x" * 9000][i % 5] for i in range(40)}
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([*texts.items(), (None, long)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for hit in queries.exact_top10_batch(spark, str(tmp_path)).collect():
+        text = texts.get(hit.row_id) or ""
+        lines = text.split("\n")
+        spans = [(0, len(lines), text)] if len(text) <= 4000 else list(chunking.window_spans(lines, 4000, 5))
+        for begin, end, part in spans if text.strip() else []:
+            expected.append((hit.qid, hit["rank"], f"/docs/{hit.row_id}.txt", f"{begin + 1}-{end}", hit.similarity, part[:100].replace("\n", " ").strip()))
+        if not text.strip():
+            expected.append((hit.qid, hit["rank"], None, None, hit.similarity, None))
+    found = [tuple(x) for x in queries.search_result_chunks(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert {(x[0], x[1]) for x in found} == {(q, n) for q in (0, 20, 40) for n in range(1, 11)}
+    assert any(x[3] and not x[3].startswith("1-") for x in found)
