@@ -23,26 +23,29 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class, and one row of it.
 
-    Ids to drop pass a bounded Bloom filter over the documents; only its hits are shuffled, to be
-    matched exactly. A document without an id cannot be named and stays.
+    A document is an id and a text (128 bits of hash): rows that share an id only are not merged. Documents to
+    drop pass a bounded Bloom filter over the documents; only its hits are shuffled, to be matched exactly.
+    A document without an id cannot be named and stays.
     """
-    linked = jaccard_join.link_documents(docs.select("doc_id", "text"))
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"))
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), key))
+    linked = jaccard_join.link_documents(keyed.select("__key", "text"), "__key")
     doubtful = (
-        linked.filter(F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("__rows"), F.min(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).alias("__first"))
+        linked.filter(F.col("__key").isNotNull())
+        .groupBy("__key")
+        .agg(F.count(F.lit(1)).alias("__rows"), F.min(F.coalesce(F.col("component_id") == F.col("__key"), F.lit(True))).alias("__first"))
         .filter((F.col("__rows") > 1) | ~F.col("__first"))
-        .withColumnRenamed("doc_id", "__id")
+        .withColumnRenamed("__key", "__id")
     )
     doubtful = materialize(doubtful, "copies")
     table, blocks = bloom_blocks(doubtful, "__id", doubtful.count())
-    marked = bloom_mark(docs, "doc_id", table, blocks, "__maybe")
-    maybe = F.col("__maybe") & F.col("doc_id").isNotNull()
+    marked = bloom_mark(keyed, "__key", table, blocks, "__maybe")
+    maybe = F.col("__maybe") & F.col("__key").isNotNull()
     sure = marked.filter(~maybe).select(*docs.columns)
-    looked_up = marked.filter(maybe).join(doubtful, F.col("doc_id") == F.col("__id"), "left")
+    looked_up = marked.filter(maybe).join(doubtful, F.col("__key") == F.col("__id"), "left")
     single = looked_up.filter(F.col("__id").isNull()).select(*docs.columns)
     rows = looked_up.filter(F.col("__first"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
+    order = Window.partitionBy("__key").orderBy(F.xxhash64(*[c for c in docs.columns]))
     repeated = rows.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") == 1).select(*docs.columns)
     return sure.unionByName(single).unionByName(repeated)
 

@@ -308,3 +308,13 @@ def test_pipeline_stages_keep_extra_columns_and_take_nothing(spark, tmp_path):
         assert got.columns[: len(docs.columns)] == docs.columns
         assert got.count() == 2
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_that_share_an_id_only_are_not_merged(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    v = vocabulary(5)
+    a, b, c, d = (sentence(random.Random(i), 80, v) for i in range(4))
+    rows = [(5, a), (5, b), (3, b), (7, a), (5, c), (5, c), (9, d), (9, d + " end"), (8, "hm"), (8, None), (None, a), (None, a)]
+    kept = [(r.doc_id, r.text) for r in pipeline.keep_one_of_near_copies(spark, documents(spark, rows), str(tmp_path)).collect()]
+    one = (9, d) if (9, d) in kept else (9, d + " end")
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (5, c), one, (8, "hm"), (8, None), (None, a), (None, a)], key=str)
