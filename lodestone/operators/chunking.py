@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,28 @@ from pyspark.sql import functions as F
 MAX_CHARS, OVERLAP_LINES, PREVIEW_CHARS = 4000, 5, 100
 CHUNK = "file_path string, start_line int, end_line int, content string, preview string"
 
-# What begins a top-level definition, by extension.
-_RUST = "fn struct enum impl mod trait type const static"
-_SCRIPT, _TYPED = r"function\*? class", r"function\*? class interface type enum"
-_EXPORT = r"(?:export\s+)?(?:default\s+)?(?:async\s+)?"
-DEFINITIONS = {
-    ".rs": r"^(?:pub(?:\(crate\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:" + "|".join(_RUST.split()) + r")\s",
-    ".js": f"^{_EXPORT}(?:" + "|".join(_SCRIPT.split()) + r")\s",
-    ".jsx": f"^{_EXPORT}(?:" + "|".join(_SCRIPT.split()) + r")\s",
-    ".ts": f"^{_EXPORT}(?:" + "|".join(_TYPED.split()) + r")\s",
-    ".tsx": f"^{_EXPORT}(?:" + "|".join(_TYPED.split()) + r")\s",
-}
+class Grammar(NamedTuple):
+    """Words that may stand before a definition, in any number and order, and words that begin one."""
+
+    modifiers: tuple[str, ...]
+    keywords: tuple[str, ...]
+
+    @property
+    def pattern(self) -> str:
+        """Matches a line that begins a definition at its first column; a modifier may have an argument, as in ``pub(crate)`` or ``extern "C"``."""
+        argument = r"""(?:\([^()]*\)|\s+"[^"]*")?"""
+        return f"^(?:(?:{'|'.join(self.modifiers)}){argument}\\s+)*(?:{'|'.join(self.keywords)})[\\s*]"
+
+
+# Items of the language references: Rust's items that have a body or a value, declarations of ECMAScript and
+# TypeScript that make a scope or a type.
+RUST = Grammar(
+    modifiers=("pub", "default", "const", "async", "unsafe", "safe", "extern"),
+    keywords=("const", "enum", "fn", "impl", "macro_rules!", "mod", "static", "struct", "trait", "type", "union"),
+)
+SCRIPT = Grammar(modifiers=("export", "default", "async"), keywords=("class", "function"))
+TYPED = Grammar(modifiers=(*SCRIPT.modifiers, "abstract", "declare", "const"), keywords=(*SCRIPT.keywords, "enum", "interface", "namespace", "type"))
+GRAMMARS = {".rs": RUST, ".js": SCRIPT, ".jsx": SCRIPT, ".mjs": SCRIPT, ".cjs": SCRIPT, ".ts": TYPED, ".tsx": TYPED, ".mts": TYPED}
 
 
 def preview(content: Column) -> Column:
@@ -42,7 +54,18 @@ def small_chunks(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 def definition_lines(files: DataFrame, suffix: str) -> DataFrame:
     """(file_path, line): 1-based lines that begin a definition in languages told by pattern."""
     lines = files.select("file_path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "text"))
-    return lines.filter(F.col("text").rlike(DEFINITIONS[suffix])).select("file_path", (F.col("pos") + 1).alias("line"))
+    return lines.filter(F.col("text").rlike(GRAMMARS[suffix].pattern)).select("file_path", (F.col("pos") + 1).alias("line"))
+
+
+def parsed_definition_lines(files: DataFrame) -> DataFrame:
+    """(file_path, line): 1-based lines of the top-level definitions of Python sources; none where they cannot be parsed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(path, line + 1) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for line in boundaries(text or "", ".py")]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["file_path", "line"])
+
+    return files.select("file_path", "content").mapInArrow(run, "file_path string, line int")
 
 
 def boundaries(text: str, suffix: str) -> list[int]:
@@ -53,8 +76,10 @@ def boundaries(text: str, suffix: str) -> list[int]:
         except (SyntaxError, ValueError):
             return []
         return sorted(n.lineno - 1 for n in body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef))
-    pattern = re.compile(DEFINITIONS[suffix]) if suffix in DEFINITIONS else None
-    return [i for i, line in enumerate(text.split("\n")) if pattern.match(line)] if pattern else []
+    if suffix not in GRAMMARS:
+        return []
+    begins = re.compile(GRAMMARS[suffix].pattern).match
+    return [i for i, line in enumerate(text.split("\n")) if begins(line + "\n")]
 
 
 def definition_spans(lines: list[str], starts: list[int], max_chars: int) -> Iterator[tuple[int, int, str]]:

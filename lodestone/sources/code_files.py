@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import os
 import re
 from collections.abc import Iterator
@@ -12,13 +13,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-# What is never searched.
-BINARY_EXTENSIONS = (
-    ".7z .a .arrow .avi .bin .bmp .bz2 .class .db .dll .doc .docx .dylib .eot .exe .flac .gguf .gif .gz .ico "
-    ".jpeg .jpg .mkv .mov .mp3 .mp4 .o .onnx .otf .parquet .pdf .png .ppt .pptx .pt .pth .pyc .pyo .rar "
-    ".safetensors .so .sqlite .svg .tar .ttf .wasm .wav .webp .woff .woff2 .xls .xlsx .xz .zip"
-).split()
-SKIPPED_FOLDERS = "__pycache__ node_modules venv".split()  # and all hidden ones
+#: Subtypes of ``application`` that are text all the same.
+TEXT_APPLICATIONS = {
+    "json", "manifest+json", "n-quads", "n-triples", "trig", "vnd.apple.mpegurl", "xml",
+    "x-csh", "x-latex", "x-sh", "x-tcl", "x-tex", "x-texinfo", "x-troff", "x-troff-man", "x-troff-me", "x-troff-ms",
+}
+#: Extensions that the media types lack: archives, databases, compiled code, fonts, models and column files.
+MORE_BINARY_EXTENSIONS = (
+    ".7z", ".bz2", ".gz", ".lz4", ".rar", ".tgz", ".xz", ".zst",
+    ".db", ".sqlite", ".class", ".dylib", ".jar", ".lib",
+    ".docx", ".pptx", ".xlsx", ".eot", ".otf", ".ttf", ".woff", ".woff2", ".flac", ".mkv",
+    ".arrow", ".gguf", ".npy", ".npz", ".onnx", ".parquet", ".pkl", ".pt", ".pth", ".safetensors",
+)
+
+
+def binary_extensions() -> list[str]:
+    """Extensions whose media type is no text, and MORE_BINARY_EXTENSIONS; other binary files are found by their bytes."""
+    found = set(MORE_BINARY_EXTENSIONS)
+    for extension, kind in mimetypes.MimeTypes(filenames=()).types_map[True].items():
+        main, sub = kind.split("/")
+        if main in ("audio", "font", "image", "video") or (main == "application" and sub not in TEXT_APPLICATIONS):
+            found.add(extension)
+    return sorted(found)
+
+
+BINARY_EXTENSIONS = binary_extensions()
+SKIPPED_FOLDERS = ("__pycache__", "node_modules", "venv")  # and all hidden ones
 SNIFF_BYTES = 8192
 FILES_PER_PARTITION = 200
 
@@ -40,7 +60,6 @@ def binary_name(path: Column) -> Column:
     return F.lower(path).rlike("(" + "|".join(map(re.escape, BINARY_EXTENSIONS)) + ")$")
 
 
-
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether the path, its name, or a folder above it matches a glob (no negation, no anchors)."""
     parts = [translate(p).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z") for p in patterns]
