@@ -2,12 +2,15 @@
 
 Two neighbouring symbols of a pre-token that stand side by side inside no vocabulary token can never
 be merged over, so the place between them is a certain cut. Each pre-token is cut there, the fragments
-are encoded on their own (and remembered, since fragments repeat far more than words do), and the ids
-are concatenated. Decoding joins the token strings.
+are encoded on their own, and the ids are concatenated. Decoding joins the token strings.
+
+Texts are cut into words (runs without white space) in chunks of whole texts, about ``CHUNK`` bytes each; a
+chunk's distinct words are encoded once, through caches of bounded size, and NumPy puts the ids of all its
+words in place. Words of a chunk are told apart by 64-bit hashes and their lengths. Decoding gathers the bytes of the token strings likewise.
 
 Nulls count as empty texts; an empty text has no tokens and decodes to an empty text. Other columns of
 the input pass through untouched. Order and number of rows stay as they are; repeated rows are encoded
-each. There is no shuffle: one pass over the rows, bounded caches in each worker.
+each. There is no shuffle: one pass over the rows.
 """
 
 from __future__ import annotations
@@ -17,17 +20,20 @@ import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import frugal
+from .words import chunks, frugal, spaces_table, words
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's caches; a full cache is emptied.
-CACHE = 120_000
+#: Entries of each of the two generations of a worker's caches.
+CACHE = 100_000
+#: Longest word, in bytes, that is remembered from chunk to chunk.
+REMEMBERED = 64
 END = "</w>"
 
 # Characters on which NFC does nothing, white space is the same for every library, and lower-casing
@@ -49,15 +55,26 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
+_TABLE = spaces_table(fold=False)
+
+
+class _Cache:
+    """What ``make`` gave for recent keys: a full generation becomes the old one, whose used entries move on."""
+
     def __init__(self, make: Callable):
-        super().__init__()
         self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[key] = self.make(key)
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.make(key)
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
         return value
 
 
@@ -76,7 +93,7 @@ class ForcedBoundaryEncoder:
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i) for i in range(max(names) + 1)]
-        self.bytes = [i.to_bytes(4, "little") for i in range(len(self.names))]
+        self.pieces = _Pieces(self.names)
         letters = byte_alphabet()
         self.inner = {c: vocab[c] for c in letters.values()}
         self.final = {c: vocab[c + END] for c in letters.values()}
@@ -95,7 +112,7 @@ class ForcedBoundaryEncoder:
                 self.joined.update(a << 16 | b for a, b in zip(symbols, symbols[1:], strict=False))
         self.fragments = _Cache(self.encode_fragment)
         self.pretokens = _Cache(self.encode_pretoken)
-        self.chunks = _Cache(self.encode_chunk)
+        self.words = _Cache(self.encode_word)
         self.library = None
 
     def symbols(self, text: str) -> list[int]:
@@ -156,9 +173,6 @@ class ForcedBoundaryEncoder:
                     heapq.heappush(heap, (self.rank[p], k, p))
         return [p for p in parts if p >= 0]
 
-    def packed(self, ids: list[int]) -> tuple[bytes, str]:
-        return b"".join([self.bytes[i] for i in ids]), " ".join([self.names[i] for i in ids])
-
     def encode_pretoken(self, text: str) -> list[int]:
         """``text``: one pre-token in the byte-level alphabet."""
         symbols = self.symbols(text)
@@ -169,44 +183,121 @@ class ForcedBoundaryEncoder:
             if len(fragment) == 1:
                 out += fragment
             else:
-                out += self.fragments[fragment] if len(fragment) <= 64 else self.encode_long(fragment)
+                out += self.fragments(fragment) if len(fragment) <= 64 else self.encode_long(fragment)
         return out
 
-    def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        """``chunk``: lower-cased text without white space."""
+    def encode_word(self, word: bytes) -> bytes:
+        """``word``: lower-cased text without white space."""
         ids: list[int] = []
-        for piece in _PIECES.findall(chunk):
+        for piece in _PIECES.findall(word.decode()):
             text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes_to_symbols)
-            ids += self.pretokens[text] if len(text) <= 64 else self.encode_pretoken(text)
-        return self.packed(ids)
-
-    def section(self, text: str) -> list[tuple[bytes, str]]:
-        """A text without added tokens: the ids and token strings of its parts."""
-        if not _PLAIN.search(text):
-            seen = self.chunks
-            return [seen[c] if len(c) <= 256 else self.encode_chunk(c) for c in text.lower().split()]
+            ids += self.pretokens(text) if len(text) <= REMEMBERED else self.encode_pretoken(text)
+        return np.array(ids, "<u4").tobytes()
+
+    def section(self, text: str) -> bytes:
+        """A text without added tokens, by the library's own normaliser and pre-tokeniser."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.source)
         normal = self.library.normalizer.normalize_str(text)
-        return [self.packed(self.encode_pretoken(t)) for t, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text."""
-        if self.split_added and "<|" in text and len(parts := self.split_added.split(text)) > 1:
-            done = []
-            for i, part in enumerate(parts):
-                done += [self.packed([self.added[part]])] if i % 2 else self.section(part)
-        else:
-            done = self.section(text)
-        done = [d for d in done if d[0]]
-        return b"".join([d[0] for d in done]), " ".join([d[1] for d in done])
-
-    def decode(self, ids: bytes) -> str:
-        """Token strings joined as the library does for a file without a decoder; unknown ids are skipped."""
-        numbers = (int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4))
-        return " ".join(self.names[i] for i in numbers if i < len(self.names) and self.names[i] is not None)
+        ids: list[int] = []
+        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
+            ids += self.pretokens(piece) if len(piece) <= REMEMBERED else self.encode_pretoken(piece)
+        return np.array(ids, "<u4").tobytes()
+
+    def encode_apart(self, text: str) -> bytes:
+        """One text with added tokens or with characters beyond _PLAIN."""
+        parts = self.split_added.split(text) if self.split_added else [text]
+        done = [np.array([self.added[part]], "<u4").tobytes() if i % 2 else self.section(part) for i, part in enumerate(parts)]
+        return b"".join(done)
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text (null: empty) as little-endian 32-bit integers."""
+        out = [self._encode_chunk(texts.slice(first, len(offsets) - 1)) for first, _, offsets in chunks(texts)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def _encode_chunk(self, texts: pa.Array) -> pa.Array:
+        apart: dict[int, bytes] = {}
+        plain = texts.to_pylist()
+        for i, text in enumerate(plain):
+            if text and (_PLAIN.search(text) or (self.split_added and "<|" in text)):
+                apart[i] = self.encode_apart(text)
+                plain[i] = ""
+            elif text:
+                plain[i] = text.lower().replace("\xa0", " ")
+        ids, ends = self._encode_plain(pa.array(plain, pa.large_string()))
+        if apart:
+            begins = [0, *ends.tolist()]
+            ids = np.concatenate([np.frombuffer(apart[i], "<u4") if i in apart else ids[begins[i] : begins[i + 1]] for i in range(len(plain))])
+            ends = ends + np.cumsum([len(apart.get(i, b"")) // 4 for i in range(len(plain))])
+        return _binary(ids, ends * 4, pa.large_binary())
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of one chunk, and where each text's ids end."""
+        all_ids, all_counts = [], []
+        for _, data, offsets in chunks(texts):
+            found = words(data, offsets, _TABLE)
+            raw = data.tobytes()
+            _, first, which = np.unique(found.hashes() ^ (found.end - found.start).astype(np.uint64), return_index=True, return_inverse=True)
+            get, make = self.words, self.encode_word
+            done = [get(raw[a:b]) if b - a <= REMEMBERED else make(raw[a:b]) for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
+            sizes = np.array([len(d) for d in done], np.int64) // 4
+            ids = np.frombuffer(b"".join(done), "<u4")
+            all_ids.append(ids[_places(np.cumsum(sizes) - sizes, sizes, which)])
+            total = np.concatenate([[0], np.cumsum(sizes[which])])
+            all_counts.append(total[found.first[1:]] - total[found.first[:-1]])
+        if not all_ids:
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        return np.concatenate(all_ids), np.cumsum(np.concatenate(all_counts))
+
+    def decode(self, packed: pa.Array) -> pa.Array:
+        """Token strings joined by spaces, as the library does for a file without a decoder; unknown ids are skipped."""
+        out = [self.pieces.join(packed.slice(first, len(offsets) - 1), data, offsets) for first, data, offsets in chunks(packed)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_string())
+
+
+class _Pieces:
+    """Token strings as one run of bytes, each followed by a space."""
+
+    def __init__(self, names: list[str | None]):
+        spaced = [b"" if n is None else n.encode() + b" " for n in names]
+        self.sizes = np.array([len(b) for b in spaced], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(spaced), np.uint8)
+
+    def join(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        if (offsets % 4).any():  # no whole ids: what is left of an id is left out
+            texts = pa.array([(t or b"")[: len(t or b"") // 4 * 4] for t in texts.to_pylist()], pa.large_binary())
+            return pa.concat_arrays([self.join(texts, d, o) for _, d, o in chunks(texts, 1 << 62)])
+        ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+        known = ids < len(self.sizes)
+        known[known] = self.sizes[ids[known]] > 0
+        counts = np.concatenate([[0], np.cumsum(known)])[offsets // 4]  # known ids before each text's begin
+        ids = ids[known]
+        sizes = self.sizes[ids]
+        last = counts[1:][counts[1:] > counts[:-1]] - 1  # no space after a text's last token
+        sizes[last] -= 1
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        step = np.ones(int(total[-1]), np.int64)  # places of the bytes, by differences
+        if len(ids):
+            some = sizes > 0
+            at, begin, size = total[:-1][some], self.starts[ids][some], sizes[some]
+            step[at[0]] = begin[0]
+            step[at[1:]] = begin[1:] - (begin[:-1] + size[:-1] - 1)
+        return _binary(self.data[np.cumsum(step)], total[counts[1:]], pa.large_string())
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the entries of the runs ``which``, one run after the other."""
+    many = sizes[which]
+    ends = np.cumsum(many)
+    return np.repeat(starts[which] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _binary(data: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 _encoders: dict[int, ForcedBoundaryEncoder] = {}
@@ -220,50 +311,43 @@ def _encoder(source: str) -> ForcedBoundaryEncoder:
     return _encoders[key]
 
 
-def bpe_encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, ids_col: str = "token_ids", decoded_col: str = "decoded_text") -> DataFrame:
-    """Add ``ids_col`` (binary: little-endian unsigned 32-bit ids) and ``decoded_col`` (string).
-
-    ``vocabulary`` is a path on the driver; its content is broadcast (one file of fixed size).
-    An input column with the name of an output column is replaced.
-    """
+def _with_column(df: DataFrame, source_col: str, new_col: str, kind: T.DataType, vocabulary: str | None, make: Callable) -> DataFrame:
+    """``df`` with ``new_col`` (which is replaced), made from ``source_col`` by ``make(encoder, array)``."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept = docs.select([docs[c] for c in docs.columns if c not in (ids_col, decoded_col)])
-    at = kept.columns.index(text_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())])
+        source = df.sparkSession.sparkContext.broadcast(f.read())  # one file of fixed size
+    kept = df.select([df[c] for c in df.columns if c != new_col or c == source_col])
+    at = kept.columns.index(source_col)
+    passed = [i for i, c in enumerate(kept.columns) if c != new_col]
+    schema = T.StructType([*[kept.schema.fields[i] for i in passed], T.StructField(new_col, kind)])
+    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(source.value)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                done = [encoder.encode(t or "") for t in batch.column(at).to_pylist()]
-                ids, texts = pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, texts], names=[*batch.schema.names, ids_col, decoded_col])
+            for begin in range(0, whole.num_rows, 1024):
+                batch = whole.slice(begin, 1024)
+                made = make(encoder, batch.column(at)).cast(arrow)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in passed], made], names=[*[batch.schema.names[i] for i in passed], new_col])
 
     return kept.mapInArrow(frugal(run), schema)
 
 
-def bpe_decode(tokens: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, decoded_col: str = "decoded_text") -> DataFrame:
-    """Add ``decoded_col``: the text of the ids in ``ids_col`` (null: empty)."""
-    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        source = tokens.sparkSession.sparkContext.broadcast(f.read())
-    kept = tokens.select([tokens[c] for c in tokens.columns if c != decoded_col])
-    at = kept.columns.index(ids_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(decoded_col, T.StringType())])
+def bpe_encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, ids_col: str = "token_ids") -> DataFrame:
+    """Add ``ids_col`` (binary: little-endian unsigned 32-bit ids). ``vocabulary``: a path on the driver.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(source.value)
-        for batch in batches:
-            texts = pa.array([encoder.decode(x or b"") for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, decoded_col])
+    An input column with the name of the output column is replaced.
+    """
+    return _with_column(docs, text_col, ids_col, T.BinaryType(), vocabulary, ForcedBoundaryEncoder.encode)
 
-    return kept.mapInArrow(frugal(run), schema)
+
+def bpe_decode(tokens: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, decoded_col: str = "decoded_text") -> DataFrame:
+    """Add ``decoded_col``: the text of the ids in ``ids_col`` (null: empty)."""
+    return _with_column(tokens, ids_col, decoded_col, T.StringType(), vocabulary, ForcedBoundaryEncoder.decode)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return bpe_encode(docs).select(
+    return bpe_decode(bpe_encode(docs).select("doc_id", "token_ids")).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

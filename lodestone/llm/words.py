@@ -98,8 +98,8 @@ def alnum_table() -> np.ndarray:
 def chunks(values: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of whole rows of ``values`` (null: empty), of about ``limit`` bytes."""
     if values.null_count:
-        values = pc.fill_null(values, "")
-    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+        values = pc.fill_null(values, b"" if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else "")
+    kind = np.int64 if pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type) else np.int32
     buffers = values.buffers()
     offsets = np.frombuffer(buffers[1], kind, len(values) + 1, values.offset * kind().itemsize).astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)

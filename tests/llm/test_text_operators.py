@@ -1,5 +1,6 @@
 """Encoding, language ID, quality scores and rules: edge cases and brute force."""
 
+import hashlib
 import random
 import re
 import struct
@@ -33,20 +34,39 @@ def encoder():
         return bpe.ForcedBoundaryEncoder(f.read())
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abthein é'sS1²#<|>_\nßİΣ語\x1f-", max_size=60))
-def test_encoding_equals_the_library(encoder, library, text):
-    ids, decoded = encoder.encode(text)
-    want = library.encode(text, add_special_tokens=False).ids
-    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
-    assert decoded == library.decode(want, skip_special_tokens=False) == encoder.decode(ids)
+def packed(library, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abthein é'sS1²#<|>_\n\xa0ßİΣ語\x1f-", max_size=60)), max_size=8))
+def test_encoding_equals_the_library(encoder, library, texts):
+    ids = encoder.encode(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [packed(library, t) for t in texts]
+    want = [library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
+    assert encoder.decode(ids).to_pylist() == want
 
 
 def test_long_fragments_equal_the_library(encoder, library):
     rng = random.Random(3)
-    for n in (63, 64, 65, 300, 5000):
-        text = "".join(rng.choice("etaoinsh") for _ in range(n))
-        assert encoder.encode(text)[0] == struct.pack(f"<{len(i)}I", *i) if (i := library.encode(text, add_special_tokens=False).ids) else True
+    texts = ["".join(rng.choice("etaoinsh") for _ in range(n)) for n in (63, 64, 65, 300, 5000)]
+    assert encoder.encode(pa.array(texts)).to_pylist() == [packed(library, t) for t in texts]
+
+
+def test_many_chunks_equal_one(encoder, library, monkeypatch):
+    rng, v = random.Random(5), vocabulary(5)
+    texts = [sentence(rng, rng.randint(0, 60), v) for _ in range(200)] + ["<|endoftext|> a", "b\xa0c", ""]
+    monkeypatch.setattr(bpe.chunks, "__defaults__", (300,))
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    assert encoder.encode(pa.array(texts)).to_pylist() == [packed(library, t) for t in texts]
+
+
+def test_unknown_ids_are_skipped(encoder):
+    one = encoder.encode(pa.array(["a cat"])).to_pylist()[0]
+    odd = [one, b"\xff\xff\xff\xff" + one, one + b"\xff\xff\xff\x7f", b"\xff\xff\xff\xff", b"", None, one + b"\x01"]
+    text = encoder.decode(pa.array([one])).to_pylist()[0]
+    assert encoder.decode(pa.array(odd, pa.binary())).to_pylist() == [text, text, text, "", "", "", text]
 
 
 def test_no_token_straddles_a_forced_boundary(encoder):
@@ -58,20 +78,38 @@ def test_no_token_straddles_a_forced_boundary(encoder):
 
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
-    cache = bpe._Cache(lambda k: k)
-    assert [cache[i] for i in range(10)] == list(range(10)) and len(cache) <= 3
+    made = []
+    cache = bpe._Cache(lambda k: made.append(k) or k)
+    assert [cache(i) for i in range(10)] == list(range(10)) and len(cache.new) + len(cache.old) <= 6
+    assert [cache(9) for _ in range(20)] == [9] * 20 and made == list(range(10))
+
+
+def odd_documents(spark):
+    return documents(spark, [(i, t) for i, t in enumerate(ODD)] + [(0, None), (None, "same"), (None, "same")])
 
 
 def test_encoding_of_odd_rows(spark, library):
-    df = documents(spark, [(i, t) for i, t in enumerate(ODD)] + [(0, None), (None, "same"), (None, "same")]).withColumn("token_ids", F.lit(1)).withColumn("extra", F.lit("x"))
-    rows = bpe.bpe_encode(df).collect()
-    assert len(rows) == len(ODD) + 3 and rows[0].extra == "x"
+    df = odd_documents(spark).withColumn("token_ids", F.lit(1)).withColumn("extra", F.lit("x")).withColumn("decoded_text", F.lit("y"))
+    encoded = bpe.bpe_encode(df)
+    rows = bpe.bpe_decode(encoded).collect()
+    assert len(rows) == len(ODD) + 3 and rows[0].extra == "x" and encoded.first().decoded_text == "y"
     for r in rows:
-        want = library.encode(r.text or "", add_special_tokens=False).ids
-        assert bytes(r.token_ids) == struct.pack(f"<{len(want)}I", *want) and r.decoded_text == library.decode(want, skip_special_tokens=False)
-    again = bpe.bpe_decode(bpe.bpe_encode(df).withColumnRenamed("decoded_text", "was")).collect()
-    assert all(r.was == r.decoded_text for r in again)
+        assert bytes(r.token_ids) == packed(library, r.text)
+        assert r.decoded_text == library.decode(library.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.bpe_encode(df.limit(0)).count() == 0
+    assert bpe.bpe_encode(df.select(F.col("text").alias("token_ids")), "token_ids").count() == len(rows)
+
+
+def test_the_query_gives_the_digests(spark, library, tmp_path):
+    folder = write(spark, tmp_path, documents=odd_documents(spark))
+    want = []
+    for i, text in [*enumerate(ODD), (0, None), (None, "same"), (None, "same")]:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(packed(library, text)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    got = bpe.op10_bpe(spark, folder)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 # language ID
