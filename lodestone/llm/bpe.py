@@ -5,8 +5,10 @@ be merged over, so the place between them is a certain cut. Each pre-token is cu
 are encoded on their own, and the ids are concatenated. Decoding joins the token strings.
 
 Texts are cut into words (runs without white space) in chunks of whole texts, about ``CHUNK`` bytes each; a
-chunk's distinct words are encoded once, through caches of bounded size, and NumPy puts the ids of all its
-words in place. Words of a chunk are told apart by 64-bit hashes and their lengths. Decoding gathers the bytes of the token strings likewise.
+chunk's distinct words are cut and encoded together with NumPy, the lowest-ranked pair of every fragment at a
+time, and the ids of all words are put in place from them. Words of a chunk are told apart by 64-bit hashes and
+their lengths. Long words, words with an apostrophe and texts with unusual characters take a path of their own
+with bounded caches. Decoding gathers the bytes of the token strings.
 
 Nulls count as empty texts; an empty text has no tokens and decodes to an empty text. Other columns of
 the input pass through untouched. Order and number of rows stay as they are; repeated rows are encoded
@@ -18,6 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -32,8 +35,8 @@ from .words import chunks, frugal, spaces_table, words
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each of the two generations of a worker's caches.
 CACHE = 100_000
-#: Longest word, in bytes, that is remembered from chunk to chunk.
-REMEMBERED = 64
+#: Longest word, in bytes, that is encoded together with others or remembered.
+SHORT = 64
 END = "</w>"
 
 # Characters on which NFC does nothing, white space is the same for every library, and lower-casing
@@ -56,6 +59,11 @@ def byte_alphabet() -> dict[int, str]:
 
 
 _TABLE = spaces_table(fold=False)
+_LETTER, _DIGIT, _OTHER = 0, 1, 2
+_KINDS = {"L": _LETTER, "N": _DIGIT}
+_KIND = np.array([_KINDS.get(unicodedata.category(chr(b))[0], _OTHER) if b < 128 else _OTHER for b in range(256)], np.uint8)
+_LATIN_KIND = np.full((2, 256), _OTHER, np.uint8)  # by first and second byte, U+0080 to U+00FF
+_LATIN_KIND[:, 128:192] = [[_KINDS.get(unicodedata.category(chr(64 * n + 128 + b))[0], _OTHER) for b in range(64)] for n in range(2)]
 
 
 class _Cache:
@@ -112,9 +120,28 @@ class ForcedBoundaryEncoder:
                 self.joined.update(a << 16 | b for a, b in zip(symbols, symbols[1:], strict=False))
         self.fragments = _Cache(self.encode_fragment)
         self.pretokens = _Cache(self.encode_pretoken)
-        self.words = _Cache(self.encode_word)
+        self._tables()
         self.library = None
 
+    def _tables(self) -> None:
+        """The same as arrays: ranks by sorted pairs; for pairs of bytes (the second may end its piece) direct tables."""
+        pairs = np.array(list(self.rank), np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], np.array(list(self.rank.values()), np.int64)[order]
+        self.results = np.array(self.merged, np.int64)
+        letters = byte_alphabet()
+        plain = [self.inner[letters[b]] for b in range(256)]
+        self.byte_symbols = np.array([*plain, *[self.final[letters[b]] for b in range(256)]], np.int64)
+        both = self.byte_symbols[:256, None] << 16 | self.byte_symbols[None, :]
+        self.byte_ranks = self._rank(both.ravel()).reshape(both.shape)
+        joined = np.sort(np.fromiter(self.joined, np.int64, len(self.joined)))
+        self.byte_joined = _is_in(both, joined)
+
+    def _rank(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; the number of merges for those without one."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.ranks[at], len(self.merged))
+
     def symbols(self, text: str) -> list[int]:
         """Symbols of a pre-token in the byte-level alphabet; the last one ends the word."""
         inner = self.inner
@@ -191,7 +218,7 @@ class ForcedBoundaryEncoder:
         ids: list[int] = []
         for piece in _PIECES.findall(word.decode()):
             text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes_to_symbols)
-            ids += self.pretokens(text) if len(text) <= REMEMBERED else self.encode_pretoken(text)
+            ids += self.pretokens(text) if len(text) <= SHORT else self.encode_pretoken(text)
         return np.array(ids, "<u4").tobytes()
 
     def section(self, text: str) -> bytes:
@@ -203,7 +230,7 @@ class ForcedBoundaryEncoder:
         normal = self.library.normalizer.normalize_str(text)
         ids: list[int] = []
         for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-            ids += self.pretokens(piece) if len(piece) <= REMEMBERED else self.encode_pretoken(piece)
+            ids += self.pretokens(piece) if len(piece) <= SHORT else self.encode_pretoken(piece)
         return np.array(ids, "<u4").tobytes()
 
     def encode_apart(self, text: str) -> bytes:
@@ -238,12 +265,8 @@ class ForcedBoundaryEncoder:
         all_ids, all_counts = [], []
         for _, data, offsets in chunks(texts):
             found = words(data, offsets, _TABLE)
-            raw = data.tobytes()
             _, first, which = np.unique(found.hashes() ^ (found.end - found.start).astype(np.uint64), return_index=True, return_inverse=True)
-            get, make = self.words, self.encode_word
-            done = [get(raw[a:b]) if b - a <= REMEMBERED else make(raw[a:b]) for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
-            sizes = np.array([len(d) for d in done], np.int64) // 4
-            ids = np.frombuffer(b"".join(done), "<u4")
+            ids, sizes = self._encode_distinct(data, found.start[first], found.end[first])
             all_ids.append(ids[_places(np.cumsum(sizes) - sizes, sizes, which)])
             total = np.concatenate([[0], np.cumsum(sizes[which])])
             all_counts.append(total[found.first[1:]] - total[found.first[:-1]])
@@ -251,6 +274,71 @@ class ForcedBoundaryEncoder:
             return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
         return np.concatenate(all_ids), np.cumsum(np.concatenate(all_counts))
 
+    def _encode_distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at ``start`` to ``end``, one word after the other, and how many each has."""
+        size = end - start
+        bytes_ = data[_places(start, size, np.arange(len(size)))]
+        begin = np.cumsum(size) - size
+        alone = size > SHORT
+        if len(size):
+            alone |= np.add.reduceat(bytes_ == ord("'"), begin) > 0
+        first = np.zeros(len(bytes_), bool)
+        first[begin] = True
+        kind = _kinds(bytes_)
+        # a piece begins with each word, where the kind of character changes, and at each digit
+        piece = first | ((bytes_ & 0xC0) != 0x80) & ((kind == _DIGIT) | np.append(True, kind[1:] != kind[:-1])[: len(kind)])
+        last = np.append(piece[1:], True)[: len(piece)]
+        code = bytes_ + np.where(last, 256, 0)
+        out, live = self.byte_symbols[code], np.ones(len(code), bool)
+        cut = piece.copy()
+        cut[1:] |= ~self.byte_joined[bytes_[:-1], code[1:]]
+        cut |= np.repeat(alone, size)
+        self._merge(bytes_, code, out, live, cut)
+        counts = np.add.reduceat(live, begin).astype(np.int64) if len(size) else size
+        ids = out[live].astype("<u4")
+        if not alone.any():
+            return ids, counts
+        where = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        parts = [np.frombuffer(self.encode_word(bytes_[begin[i] : begin[i] + size[i]].tobytes()), "<u4") if alone[i] else ids[where[i] : where[i + 1]] for i in range(len(size))]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _merge(self, bytes_: np.ndarray, code: np.ndarray, out: np.ndarray, live: np.ndarray, cut: np.ndarray) -> None:
+        """Merge inside the fragments that begin at ``cut``: a round merges the lowest-ranked pair, leftmost first,
+        of every fragment that has one. ``out`` gets the ids, ``live`` says which places still have one."""
+        none = len(self.merged)
+        rank = np.full(len(code), none, np.int64)
+        inside = np.flatnonzero(~cut[1:])
+        rank[inside] = self.byte_ranks[bytes_[inside], code[inside + 1]]
+        at = np.arange(len(code))
+        begins = np.flatnonzero(cut)
+        while len(begins):
+            lowest = np.minimum.reduceat(rank, begins)
+            some = lowest < none
+            sizes = np.diff(np.append(begins, len(at)))
+            if not some.all():  # go on with these fragments alone
+                keep = np.repeat(some, sizes)
+                at, rank = at[keep], rank[keep]
+                sizes, lowest = sizes[some], lowest[some]
+                if not len(sizes):
+                    return
+                begins = np.cumsum(sizes) - sizes
+            hits = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            place = hits[np.searchsorted(hits, begins)]
+            right = place + 1
+            new = self.results[lowest]
+            out[at[place]] = new
+            live[at[right]] = False
+            end = begins + sizes
+            rank[place] = none
+            more = np.flatnonzero(right + 1 < end)
+            rank[place[more]] = self._rank(new[more] << 16 | out[at[right[more] + 1]])
+            less = np.flatnonzero(place > begins)
+            rank[place[less] - 1] = self._rank(out[at[place[less] - 1]] << 16 | new[less])
+            keep = np.ones(len(at), bool)
+            keep[right] = False
+            at, rank = at[keep], rank[keep]
+            begins = begins - np.arange(len(begins))
+
     def decode(self, packed: pa.Array) -> pa.Array:
         """Token strings joined by spaces, as the library does for a file without a decoder; unknown ids are skipped."""
         out = [self.pieces.join(packed.slice(first, len(offsets) - 1), data, offsets) for first, data, offsets in chunks(packed)]
@@ -288,6 +376,22 @@ class _Pieces:
         return _binary(self.data[np.cumsum(step)], total[counts[1:]], pa.large_string())
 
 
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(values.shape, bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Letter, digit or other for each byte of UTF-8 text of the characters that _PLAIN lets through."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+    kind[lead] = kind[lead + 1] = _LATIN_KIND[data[lead] - 0xC2, data[lead + 1]]
+    more = np.flatnonzero(data >= 0xC4)
+    kind[more] = kind[more + 1] = _LETTER
+    return kind
+
+
 def _places(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Places of the entries of the runs ``which``, one run after the other."""
     many = sizes[which]
