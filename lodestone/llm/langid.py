@@ -5,9 +5,10 @@ each automaton into longest matches (phrases); a language that explains the text
 number of phrases times log2 of the sample's length, per byte of text, is a cross-entropy estimate in
 bits per byte; the language with the fewest bits wins, ties going to the first name.
 
-Texts are lower-cased, every run of bytes that are neither ASCII letters nor part of a non-ASCII
-character becomes one space, and phrases end at blocks of ``BLOCK`` bytes, so that all blocks of a
-batch are parsed in step with NumPy. The whole text is used. A null text, an empty one, or one without a
+Texts are lower-cased and every run of bytes that are neither ASCII letters nor part of a non-ASCII
+character becomes one space. The whole text is one parse: NumPy parses its blocks of ``BLOCK`` bytes in
+step, and blocks that a phrase runs into are parsed again from that phrase's state until both parses meet,
+so the result is that of a parse from end to end, whatever the block size. A null text, an empty one, or one without a
 letter is ``und`` with score 0 and null bits; with no labelled row at all every text is ``und``. Nulls in
 other columns pass through.
 """
@@ -26,16 +27,16 @@ from pyspark.sql import types as T
 
 from .words import chunks, frugal
 
-#: The labelled sample, for each language: rows, chosen by the hash of their ids, and characters of each
-#: row, from its middle.
-SAMPLE_ROWS = 48
-SAMPLE_CHARS = 480
+#: The labelled sample of each language: whole texts of so many rows with a letter, picked by the hash of their ids,
+#: of so many characters in all. Rows of up to an even share come first, then longer ones, the shortest first; one
+#: row is always taken.
+SAMPLE_ROWS = 16
+SAMPLE_CHARS = 64_000
 BLOCK = 1024
 CHUNK = 1 << 20
-#: Bits per byte beyond which no language explains a text of at least ``REJECT_BYTES`` bytes: raw bytes
-#: are then as cheap.
+#: Bits per byte beyond which no language explains a text: raw bytes are then as cheap. One phrase is not
+#: counted, since every parse, even of one letter, has one that its end cuts short.
 REJECT_BITS = 8.0
-REJECT_BYTES = 64
 UNKNOWN = "und"
 
 _SPACE = 32
@@ -125,37 +126,61 @@ class CrossParser:
         start = offsets[:-1][doc] + nth * BLOCK
         length = np.minimum(sizes[doc] - nth * BLOCK, BLOCK)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(doc), np.int64)
+        place[order] = np.arange(len(doc))
+        before = np.where(nth > 0, place[np.arange(len(doc)) - 1], -1)[order] if len(doc) else nth  # each block's predecessor
         doc, start, length = doc[order], start[order], length[order]
         out = np.zeros((len(sizes), len(self.tables)), np.int64)
         if not len(doc):
             return out
         steps = int(length[0])
         active = np.searchsorted(-length, -np.arange(steps), "left")  # blocks longer than i
+        base = np.cumsum(active) - active  # step i of block j stands at base[i] + j
         columns = self.column[codes]
-        lined = np.empty((steps, len(doc)), np.int32)
-        for i in range(steps):
-            lined[i, : active[i]] = columns[start[: active[i]] + i]
+        lined = np.concatenate([columns[start[:n] + i] for i, n in enumerate(active.tolist())])
         for k, table in enumerate(self.tables):
-            at = np.full(len(doc), len(table) - len(self.letters) - 1, np.int32)  # the state after nothing
-            new = np.zeros(len(doc), np.int64)
+            fresh = np.int32(len(table) - len(self.letters) - 1)  # the state after nothing
+            moves = np.empty(len(lined), np.int32)
+            at = np.full(len(doc), fresh, np.int32)
             for i in range(steps):
-                n = active[i]
-                to = table[at[:n] + lined[i, :n]]
-                new[:n] += to & 1
+                n, b = active[i], base[i]
+                moves[b : b + n] = to = table[at[:n] + lined[b : b + n]]
                 at[:n] = to >> 1
+            entered = np.full(len(doc), fresh, np.int32)
+            while True:
+                final = moves[base[length - 1] + np.arange(len(doc))] >> 1
+                wanted = np.where(before >= 0, final[before], fresh)
+                todo = np.flatnonzero(wanted != entered)
+                if not len(todo):
+                    break
+                entered[todo] = at = wanted[todo]
+                for i in range(steps):
+                    inside = length[todo] > i
+                    todo, at = todo[inside], at[inside]
+                    if not len(todo):
+                        break
+                    spot = base[i] + todo
+                    to = table[at + lined[spot]]
+                    apart = (to ^ moves[spot]) > 1  # in different states
+                    moves[spot] = to
+                    todo, at = todo[apart], (to >> 1)[apart]
+            new = np.zeros(len(doc), np.int64)
+            for i in range(steps):
+                new[: active[i]] += moves[base[i] : base[i] + active[i]] & 1
             out[:, k] = np.bincount(doc, new, len(sizes)).astype(np.int64)
         return out
 
     def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, bits per byte of the best language, and normalised bytes of each text."""
+        """Language, score, bits per byte of the best language, and its phrases, for each text."""
         n = len(texts)
-        names, score, bits, sizes = [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, np.int64)
+        names, score, bits, phrases = [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, np.int64)
         if not self.tables:
-            return names, score, bits, sizes
+            return names, score, bits, phrases
         for first, data, offsets in chunks(pc.utf8_lower(texts), CHUNK):
             codes, at = normalise(data, offsets)
             size = np.diff(at)
-            cost = self.phrases(codes, at) * np.array(self.log_size) / np.maximum(size, 1)[:, None]
+            found = self.phrases(codes, at)
+            cost = found * np.array(self.log_size) / np.maximum(size, 1)[:, None]
             letters = np.zeros(len(codes) + 1, np.int64)
             np.cumsum((codes >= 97) & (codes < 123), out=letters[1:])
             ascii_letters = letters[at[1:]] - letters[at[:-1]]
@@ -167,30 +192,33 @@ class CrossParser:
                 b = cost[i, best[i]]
                 rest = np.delete(cost[i], best[i])
                 other = min(float(rest.min()) if len(rest) else REJECT_BITS, max(REJECT_BITS, b))
-                names[row], bits[row], sizes[row] = self.languages[best[i]], b, size[i]
+                names[row], bits[row], phrases[row] = self.languages[best[i]], b, found[i, best[i]]
                 score[row] = other / (b + other)
-        return names, score, bits, sizes
+        return names, score, bits, phrases
 
 
 def learn_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """A bounded sample for each language, as normalised bytes.
+    """A bounded sample for each language, as normalised bytes: whole texts.
 
-    Rows are picked by the hash of their ids without their texts, then only the picked ones' texts are
-    read; at most SAMPLE_ROWS rows of a language, SAMPLE_CHARS characters of each, reach the driver.
+    Rows without a letter are left out first. Rows are then picked by the hash of their ids without their
+    texts, repeated ids counting once (with the least of their texts), and only the picked ones' texts
+    reach the driver.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    size = F.length(text_col)
+    late = F.when(size > SAMPLE_CHARS // SAMPLE_ROWS, size).otherwise(F.lit(0))
+    order = Window.partitionBy("lang").orderBy("late", "h", "id")
     picked = (
-        rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-        .withColumn("rank", F.row_number().over(order))
+        rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), late.alias("late"), size.alias("size"))
+        .withColumn("rank", F.dense_rank().over(order))
         .filter(F.col("rank") <= SAMPLE_ROWS)
-        .select("lang", "id")
-        .distinct()
+        .groupBy("lang", "id")
+        .agg(F.min("rank").alias("rank"), F.max("size").alias("size"))
     )
-    middle = F.greatest(F.lit(1), ((F.length(text_col) - SAMPLE_CHARS) / 2).cast("int"))
+    running = Window.partitionBy("lang").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)
+    picked = picked.withColumn("total", F.sum("size").over(running)).filter((F.col("rank") == 1) | (F.col("total") <= SAMPLE_CHARS)).select("lang", "id")
     texts = (
-        rows.filter(F.length(text_col) > 0)
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substr(F.col(text_col), middle, F.lit(SAMPLE_CHARS)).alias("part"))
+        rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("part"))
         .join(F.broadcast(picked), ["lang", "id"])
         .groupBy("lang", "id")
         .agg(F.min("part").alias("part"))
@@ -219,11 +247,11 @@ def _parser(samples: list[tuple[str, bytes]]) -> CrossParser:
 
 
 def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score (0 to 1), bits_per_byte and lang_bytes to ``docs`` in one pass without a shuffle.
+    """Add lang_pred, score (0 to 1), bits_per_byte and lang_phrases to ``docs`` in one pass without a shuffle.
 
     Input columns with those names are replaced.
     """
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()), T.StructField("lang_bytes", T.LongType())]
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()), T.StructField("lang_phrases", T.LongType())]
     names = {f.name for f in new}
     kept = docs.select([docs[c] for c in docs.columns if c not in names])
     at = kept.columns.index(text_col)
@@ -232,8 +260,8 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            lang, score, bits, sizes = parser.judge(batch.column(at))
-            made = [pa.array(lang, pa.string()), pa.array(score), pa.array(bits, from_pandas=True), pa.array(sizes)]
+            lang, score, bits, phrases = parser.judge(batch.column(at))
+            made = [pa.array(lang, pa.string()), pa.array(score), pa.array(bits, from_pandas=True), pa.array(phrases)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[f.name for f in new]])
 
     return kept.mapInArrow(frugal(run), T.StructType([*kept.schema.fields, *new]))
@@ -241,7 +269,7 @@ def identify_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_co
 
 def rejected() -> F.Column:
     """Rows of :func:`identify_language` that no language explains."""
-    return (F.col("lang_pred") == UNKNOWN) | ((F.col("bits_per_byte") > REJECT_BITS) & (F.col("lang_bytes") >= REJECT_BYTES))
+    return (F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") * (F.col("lang_phrases") - 1) > F.lit(REJECT_BITS) * F.col("lang_phrases"))
 
 
 def held_out() -> F.Column:

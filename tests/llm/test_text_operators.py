@@ -1,6 +1,7 @@
 """Encoding, language ID, quality scores and rules: edge cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -116,21 +117,27 @@ def test_the_query_gives_the_digests(spark, library, tmp_path):
 
 
 def naive_phrases(train: bytes, text: bytes) -> int:
-    """Longest matches, one after another, in blocks."""
-    n = 0
-    for b in range(0, len(text), langid.BLOCK):
-        block, at = text[b : b + langid.BLOCK], 0
-        while at < len(block):
-            to = at + 1
-            while to < len(block) and block[at : to + 1] in train:
-                to += 1
-            n, at = n + 1, to if block[at : at + 1] in train else at + 1
+    """Longest matches, one after another, over the whole text."""
+    n = at = 0
+    while at < len(text):
+        to = at + 1
+        while to < len(text) and text[at : to + 1] in train:
+            to += 1
+        n, at = n + 1, to if text[at : at + 1] in train else at + 1
     return n
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abcé", min_size=1, max_size=60), min_size=1, max_size=3), st.lists(st.text(alphabet="abcdé Z!", max_size=80), min_size=1, max_size=6))
-def test_phrases_equal_greedy_search(trains, texts):
+@given(st.lists(st.text(alphabet="abcé", min_size=1, max_size=60), min_size=1, max_size=3), st.lists(st.text(alphabet="abcdé Z!", max_size=80), min_size=1, max_size=6), st.sampled_from([1, 2, 7, 1024]))
+def test_phrases_equal_greedy_search(trains, texts, block):
+    before, langid.BLOCK = langid.BLOCK, block
+    try:
+        check_phrases(trains, texts)
+    finally:
+        langid.BLOCK = before
+
+
+def check_phrases(trains, texts):
     samples = [(str(i), t.encode()) for i, t in enumerate(trains)]
     parser = langid.CrossParser(samples)
     for _, data, offsets in chunks(pa.array([t.lower() for t in texts])):
@@ -172,6 +179,39 @@ def test_languages_are_told_apart(spark, two_languages, tmp_path):
     assert odd[1004].lang_pred != "und" and odd[1005].lang_pred != "und"
 
 
+def plain(text):
+    return re.sub(b"[^a-z\x80-\xff]+", b" ", (text or "").lower().encode()).lstrip(b" ")
+
+
+def test_the_query_equals_brute_force(spark, two_languages, tmp_path):
+    long = [(2000 + i, " ".join(t.text for t in two_languages.filter(f"doc_id % 2 = {i} and doc_id < 120").collect()), None, "s", None) for i in (0, 1)]
+    docs = two_languages.unionByName(documents(spark, long))
+    folder = write(spark, tmp_path, documents=docs)
+    samples = langid.learn_samples(docs.filter(~langid.held_out()))
+    learned = {}
+    for r in docs.filter(~langid.held_out()).filter("lang is not null").collect():
+        learned.setdefault(r.lang, []).append(plain(r.text).strip())
+    for lang, sample in samples:  # whole texts of learned rows
+        assert sum(t in sample for t in learned[lang]) >= langid.SAMPLE_ROWS
+    got = {r.doc_id: r for r in langid.op3_langid(spark, folder).collect()}
+    for r in docs.collect():
+        text = plain(r.text)
+        want, score = "und", 0.0
+        if any(c.isalpha() for c in r.text or ""):
+            costs = [naive_phrases(s, text) * math.log2(len(s)) / len(text) for _, s in samples]
+            want, best, other = samples[costs.index(min(costs))][0], min(costs), max(costs)
+            other = min(other, max(langid.REJECT_BITS, best))
+            score = other / (best + other)
+        assert got[r.doc_id].lang_pred == want and got[r.doc_id].score == pytest.approx(score)
+
+
+def test_samples_skip_blank_rows_and_take_long_ones_last(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 2)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 40)
+    rows = [(i, "", "en") for i in range(50)] + [(60, "the only one", "en"), (60, "the second text", "en"), (70, None, "fr"), (80, "x" * 500, "de"), (81, "y" * 400, "de"), (82, "long " * 30, "es"), (83, "kurz", "es")]
+    assert langid.learn_samples(documents(spark, [(*r, "s", None) for r in rows])) == [("de", b"y" * 400), ("en", b"the only one"), ("es", b"kurz")]
+
+
 def test_languages_without_labels_or_rows(spark):
     df = documents(spark, [(1, "abc", None, "s", 1), (2, None, None, None, None)])
     assert langid.learn_samples(df) == []
