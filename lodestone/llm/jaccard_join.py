@@ -10,19 +10,29 @@ its first s - ceil(0.75 s) + 1 tokens with each set that it links to. Light sets
 to link with a heavy one are put into these lists too. The boundary is the one with the least cost over
 the corpus' set sizes (``choose_boundary``). The token order comes from counts over all documents.
 
-Pairs inside a list are never enumerated wholesale. Each list has a leader, the node with the smallest
-share of rare tokens: copies of a text add rare tokens to it, so this is the text itself or the least
-changed copy. Members are first compared with their leaders, which joins a group of m near copies by m
-comparisons, even if the copies are linked through the text alone. Only
-members of one list that are then in different components are compared with each other, and not even
-these if the tokens after the shared one are too few for a link, or if the triangle inequality of the
-Jaccard distance, over the distances to their leader, rules one out. All links between different
-components are thus found, and components are exact.
-
-Hashes have 64 bits; a clash of two nodes' digests is detected by a second digest and raises ValueError
-(take another ``seed``). Null or empty texts have no set, link with nothing and are their own component.
+Pairs inside a list are never enumerated wholesale. The members of a list whose sizes fall into one class
+(sizes of a class can all link) have a leader, the one with the smallest share of rare tokens: copies of a
+text add rare tokens to it, so this is the text itself or the least changed copy. Members are first compared
+with their leaders, and with the leader of the next class, which joins a group of m near copies by some 2 m
+comparisons, even if the copies are linked through the text alone. Only members that are then in different
+components are compared with each other: the larger one's token is looked up among the smaller ones whose
+token comes early enough for a link, within a class and the next one. Pairs with too few tokens after the
+shared one are left out, and those that the triangle inequality of the Jaccard distance over a common leader
+rules out. All links between different components are thus found, and components are exact.
+
+A pair is first compared by sketches: bit vectors, about as long as the set, of the parity of the elements
+that fall on each bit. The bits in which two sketches differ are at most the symmetric difference, so most pairs
+without a link are settled by some 60 bytes each. Sets are made again and intersected for the others only.
+
+Tokens of very many documents are known from the counts (for a subset, its rarest element's). Their lists are split
+by salts of about ``HOT`` members, each with leaders of its own, which are then compared with the token's. Joins
+that meet leaders, tokens or centres of components read written tables on both sides, so that Spark can split them.
+
+Hashes have 64 bits. Sets with one digest are told apart by a second digest, which then takes its place: 128 bits in all.
+Null or empty texts have no set, link with nothing and are their own component.
 A null id takes part, but a component's id is its smallest non-null id (null if it has none). Repeated
-rows are copies of each other. An empty table gives an empty result.
+rows are copies of each other. Other columns pass through whatever their names, but ``n_shingles`` and
+``component_id`` are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,6 +58,10 @@ MAX_BOUNDARY = 12
 #: Token counts: shingles a counting group, shingles a task holds before it writes, fewest documents of a
 #: token to be ordered by its count, and most tokens so ordered (8 bytes each are broadcast).
 GROUP, HOLD, MIN_COUNT, MAX_COUNTED = 2_000_000, 1_000_000, 4, 1 << 19
+#: Members of a token's list, about, from which on it is split.
+HOT = 512
+#: Sizes of a class differ by less than this factor. Two sizes that can link (a factor of 4/3) are in one class or in neighbours.
+CLASS = 1.34
 #: Sets that a task remembers having written, so that copies within it are written once.
 REMEMBER = 100_000
 
@@ -111,25 +125,41 @@ def shingle_sets(values: pa.Array, seed: int) -> Iterator[tuple[int, list[np.nda
         yield first, sets
 
 
-def digest(elements: np.ndarray, salt: int = 0) -> int:
-    return int(mix(elements ^ np.uint64(0x5851F42D4C957F2D + salt)).sum().astype(np.int64))
+def digest(elements: np.ndarray, twins: frozenset[int] = frozenset(), salt: int = 0) -> int:
+    """64 bits of a set; a second hash for sets whose first one, in ``twins``, another set has too."""
+    found = int(mix(elements ^ np.uint64(0x5851F42D4C957F2D + salt)).sum().astype(np.int64))
+    return digest(elements, frozenset(), 99) if found in twins else found
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements on 64 or more bits, a power of two not less than their number, as longs."""
+    bits = max(64, 1 << (len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _signatures(texts: DataFrame, seed: int) -> DataFrame:
-    """id columns, digest (null without words), check, n_shingles."""
-    at = texts.columns.index("text")
+    """The other columns with digest (null without words), check, n_shingles, and sketch (once for each set of a task)."""
+    at = texts.columns.index("__text")
     rest = [i for i in range(len(texts.columns)) if i != at]
-    schema = T.StructType([*[texts.schema.fields[i] for i in rest], T.StructField("digest", T.LongType()), T.StructField("check", T.LongType()), T.StructField("n_shingles", T.LongType())])
+    new = [T.StructField("__digest", T.LongType()), T.StructField("__check", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("__sketch", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*[texts.schema.fields[i] for i in rest], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made: list[list] = [[], [], []]
-            for _, sets in shingle_sets(batch.column(at), seed):
-                for s in sets:
-                    made[0].append(digest(s) if len(s) else None)
-                    made[1].append(digest(s, 99) if len(s) else None)
-                    made[2].append(len(s))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *[pa.array(m, pa.int64()) for m in made]], names=[f.name for f in schema])
+        once = _Once()
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1024):
+                batch = whole.slice(begin, 1024)
+                made: list[list] = [[], [], [], []]
+                for _, sets in shingle_sets(batch.column(at), seed):
+                    for s in sets:
+                        key = digest(s) if len(s) else None
+                        made[0].append(key)
+                        made[1].append(digest(s, salt=99) if len(s) else None)
+                        made[2].append(len(s))
+                        made[3].append(sketch(s) if len(s) and once(made[1][-1]) else None)
+                made_arrays = [*[pa.array(m, pa.int64()) for m in made[:3]], pa.array(made[3], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *made_arrays], names=[f.name for f in schema])
 
     return texts.mapInArrow(frugal(run), schema)
 
@@ -201,7 +231,7 @@ def _token_counts(texts: DataFrame, total: int, seed: int) -> DataFrame:
         keep = n >= MIN_COUNT
         return pa.table({"key": pa.array(key[cuts][keep].astype(np.int64)), "n": pa.array(n[keep])})
 
-    return texts.select("text").mapInArrow(frugal(run), schema).groupBy("group").applyInArrow(count, "key long, n long")
+    return texts.select("__text").mapInArrow(frugal(run), schema).groupBy("group").applyInArrow(count, "key long, n long")
 
 
 class TokenOrder:
@@ -226,52 +256,63 @@ class TokenOrder:
         return maybe[hit], self.counts[at[hit]]
 
     @staticmethod
-    def prefix(elements: np.ndarray, length: int, counted: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def prefix(elements: np.ndarray, length: int, counted: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokens, and how many documents have them (0: not counted)."""
         free = np.ones(len(elements), bool)
         free[counted] = False
         first = elements[free][:length]
+        known = np.zeros(length, np.int64)
         if len(first) == length:
-            return first
-        late = counted[np.lexsort((elements[counted], counts))]
-        return np.concatenate([first, elements[late[: length - len(first)]]])
+            return first, known
+        late = np.lexsort((elements[counted], counts))[: length - len(first)]
+        known[len(first) :] = counts[late]
+        return np.concatenate([first, elements[counted[late]]]), known
+
+
+POSTINGS = "tok long, salt int, id long, size long, pos long, odd int"
 
 
-def _postings(texts: DataFrame, order: TokenOrder, boundary: int, seed: int) -> DataFrame:
-    """(tok, id, size, pos, odd): the prefix tokens of each node, with their places in its order, and its
-    subset hashes (place 0); and how many of 1000 of its tokens are rare."""
+def _postings(texts: DataFrame, order: TokenOrder, boundary: int, seed: int, twins: frozenset[int]) -> DataFrame:
+    """POSTINGS: the prefix tokens of each node, with their places in its order, and its subset hashes (place 0);
+    how many of 1000 of its tokens are rare; and the salt, 0 for tokens of few documents."""
     shared = texts.sparkSession.sparkContext.broadcast(order)  # MAX_COUNTED entries
-    schema = T.StructType([T.StructField("tok", T.LongType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("odd", T.IntegerType())])
+    names = [f.split()[0] for f in POSTINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, ranks = _Once(), shared.value
         choices = {(n, k): np.array(list(combinations(range(n), k)), np.int64) for n in range(1, boundary + 1) for k in subset_sizes(n, boundary)}
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), seed):
-                tokens, ids, sizes, places, odd = [], [], [], [], []
+                columns: list[list] = [[], [], [], [], [], []]
                 for s in sets:
                     n = len(s)
-                    if not n or not once(key := digest(s)):
+                    if not n or not once(key := digest(s, twins)):
                         continue
-                    own = []
+                    own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                     counted, counts = ranks.find(s)
                     if n <= boundary:
                         mixed = mix(s + np.uint64(boundary))
-                        own += [mix(mixed[choices[n, k]].sum(axis=1) + _LENGTH[k]) for k in subset_sizes(n, boundary)]
+                        known = np.zeros(n, np.int64)
+                        known[counted] = counts
+                        for k in subset_sizes(n, boundary):
+                            chosen = choices[n, k]
+                            own.append((mix(mixed[chosen].sum(axis=1) + _LENGTH[k]), known[chosen].min(axis=1), np.zeros(len(chosen), np.int64)))
                     if in_lists(n, boundary):
-                        own.append(ranks.prefix(s, prefix_length(n), counted, counts))
-                    tokens += own
-                    places += [np.zeros(len(x), np.int32) for x in own[:-1]]
-                    if own:
-                        places.append((np.arange(len(own[-1])) * in_lists(n, boundary)).astype(np.int32))
-                    written = sum(map(len, own))
-                    ids.append(np.full(written, key, np.int64))
-                    sizes.append(np.full(written, n, np.int32))
-                    odd.append(np.full(written, 1000 * (n - len(counted)) // n, np.int32))
-                if tokens:
-                    arrays = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (ids, sizes, places, odd))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[f.name for f in schema])
-
-    return texts.select("text").mapInArrow(frugal(run), schema)
+                        tokens, known = ranks.prefix(s, prefix_length(n), counted, counts)
+                        own.append((tokens, known, np.arange(len(tokens))))
+                    for tokens, known, places in own:
+                        parts = known // HOT
+                        lot = np.uint64(key & (1 << 64) - 1) >> np.uint64(8)
+                        columns[0].append(tokens.view(np.int64))
+                        columns[1].append(np.where(parts > 0, 1 + lot.astype(np.int64) % (parts + 1), 0).astype(np.int32))
+                        columns[2].append(np.full(len(tokens), key, np.int64))
+                        columns[3].append(np.full(len(tokens), n, np.int64))
+                        columns[4].append(places)
+                        columns[5].append(np.full(len(tokens), 1000 * (n - len(counted)) // n, np.int32))
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+
+    return texts.select("__text").mapInArrow(frugal(run), POSTINGS)
 
 
 def _comparable(a: str, b: str) -> F.Column:
@@ -285,34 +326,59 @@ def _reachable(a: str, a_pos: str, b: str, b_pos: str) -> F.Column:
     return rest * (100 + PERCENT) >= (F.col(a) + F.col(b)) * PERCENT
 
 
-def _linked(inter: str, a: str, b: str) -> F.Column:
-    return F.col(inter) * 100 >= (F.col(a) + F.col(b) - F.col(inter)) * PERCENT
+def _linked(difference: F.Column, a: str, b: str) -> F.Column:
+    """Whether a symmetric difference allows a link: at most the share 1 - 2 PERCENT / (100 + PERCENT) of both sizes."""
+    return difference * (100 + PERCENT) <= (F.col(a) + F.col(b)) * (100 - PERCENT)
+
+
+def _distance(difference: F.Column, a: str, b: str) -> F.Column:
+    return 2 * difference / (F.col(a) + F.col(b) + difference)
+
+
+def _folded(longs: F.Column) -> F.Column:
+    """A sketch on half the bits."""
+    half = (F.size(longs) / 2).cast("int")
+    return F.zip_with(F.slice(longs, F.lit(1), half), F.slice(longs, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def sketch_difference(x: F.Column, y: F.Column) -> F.Column:
+    """Differing bits of two sketches, whose sizes are equal or differ by a factor of two."""
+    x, y = F.when(F.size(x) > F.size(y), _folded(x)).otherwise(x), F.when(F.size(y) > F.size(x), _folded(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k).cast("long")
+
 
+def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``apart``, a lower bound of the symmetric difference, to pairs (a, a_size, b, b_size)."""
+    left = nodes.select(F.col("digest").alias("a"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("digest").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "a_size", "b", "b_size", sketch_difference(F.col("x"), F.col("y")).alias("apart"))
 
-def _compare(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """Add ``inter``, the size of the intersection, to pairs (a, a_size, b, b_size).
+
+def _intersected(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, seed: int, twins: frozenset[int]) -> DataFrame:
+    """Add ``apart``, the symmetric difference, to pairs (a, a_size, b, b_size).
 
     Sets are made again from those texts only that a bounded Bloom filter lets through.
     """
     ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     keys = materialize(nodes.join(ends, "digest", "left_semi").select("text_key"), "jaccard-keys")
     table, blocks = bloom_blocks(keys, "text_key", keys.count())
-    some = bloom_mark(texts.withColumn("text_key", F.xxhash64("text")), "text_key", table, blocks, "maybe").filter("maybe").select("text")
+    some = bloom_mark(texts.withColumn("__key", F.xxhash64("__text")), "__key", table, blocks, "__maybe").filter("__maybe").select("__text")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("elements", T.BinaryType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), seed):
-                rows = [(key, s.tobytes()) for s in sets if len(s) and once(key := digest(s))]
+                rows = [(key, s.tobytes()) for s in sets if len(s) and once(key := digest(s, twins))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "elements"])
 
-    sets = some.mapInArrow(frugal(make), schema).groupBy("id").agg(F.first("elements").alias("elements"))
+    made = some.mapInArrow(frugal(make), schema).join(ends.withColumnRenamed("digest", "id"), "id", "left_semi")
+    sets = materialize(made.groupBy("id").agg(F.first("elements").alias("elements")), "jaccard-sets")
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "a_size", "b", "b_size", "x", "y")
-    out = T.StructType([*[both.schema[c] for c in ("a", "a_size", "b", "b_size")], T.StructField("inter", T.IntegerType())])
+    both = pairs.select("a", "a_size", "b", "b_size").join(left, "a").join(right, "b").select("a", "a_size", "b", "b_size", "x", "y")
+    out = T.StructType([*[both.schema[c] for c in ("a", "a_size", "b", "b_size")], T.StructField("apart", T.LongType())])
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,27 +389,105 @@ def _compare(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, seed: int) ->
                     p, q = q, p
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
-                found.append(int((q[at] == p).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int32())], names=[f.name for f in out])
+                found.append(len(p) + len(q) - 2 * int((q[at] == p).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], names=[f.name for f in out])
+
+    exact = materialize(both.mapInArrow(frugal(intersect), out), "jaccard-exact")
+    for spent in (keys, sets):
+        discard(spent)
+    return exact
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """POSTINGS of lists with several members (and of split ones), each node once, with their size class ``g`` and
+    the ``leader`` of that class: id, size, pos."""
+    by_list = Window.partitionBy("tok", "salt").orderBy("g", "odd", "id")
+    by_class = Window.partitionBy("tok", "salt", "g").orderBy("odd", "id")  # the same sort serves both
+    first = lambda c, w: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = postings.withColumn("g", F.floor(F.log("size") / float(np.log(CLASS))).cast("int"))
+    rows = rows.select("*", F.lead("id").over(by_list).alias("next"), first("id", by_list).alias("head"), *[first(c, by_class).alias(f"leader_{c}") for c in ("id", "size", "pos")])
+    last_copy = F.col("next").isNull() | (F.col("next") != F.col("id"))
+    several = (F.col("head") != F.col("id")) | F.col("next").isNotNull() | (F.col("salt") > 0)
+    return rows.filter(last_copy & several).drop("next", "head").withColumnsRenamed({c: f"own_{c}" for c in ("id", "size", "pos")})
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of nodes (columns ``a``_id, _size, _pos) that could link."""
+    could = (F.col(f"{a}id") != F.col(f"{b}id")) & _comparable(f"{a}size", f"{b}size") & _reachable(f"{a}size", f"{a}pos", f"{b}size", f"{b}pos")
+    return rows.filter(could).select(F.col(f"{a}id").alias("a"), F.col(f"{a}size").alias("a_size"), F.col(f"{b}id").alias("b"), F.col(f"{b}size").alias("b_size"))
+
+
+def _early(size: str, pos: str) -> F.Column:
+    """Whether a link with a set of at least this size can begin at this place."""
+    return _reachable(size, pos, size, pos)
+
+
+def _classes(texts: DataFrame, nodes: DataFrame, order: TokenOrder, boundary: int, seed: int, twins: frozenset[int]) -> DataFrame:
+    """(digest, comp) of all nodes that have a link."""
+    lists = materialize(_lists(_postings(texts, order, boundary, seed, twins)), "jaccard-lists")
+    heads = lists.filter(F.col("own_id") == F.col("leader_id"))
+    top = heads.groupBy("tok", "g").agg(F.min(F.struct("odd", "own_id", "own_size", "own_pos")).alias("t"))
+    tops = materialize(top.select("tok", "g", *[F.col(f"t.own_{c}").alias(f"top_{c}") for c in ("id", "size", "pos")]), "jaccard-tops")
+    guests = lists.filter(_early("own_size", "own_pos")).select("tok", (F.col("g") + 1).alias("g"), "own_id", "own_size", "own_pos").join(tops, ["tok", "g"])
+    stars = _pairs(lists, "own_", "leader_").unionByName(_pairs(heads.filter("salt > 0").join(tops, ["tok", "g"]), "own_", "top_")).unionByName(_pairs(guests, "own_", "top_"))
+    stars = materialize(stars.distinct(), "jaccard-stars")
+    sketched = materialize(_sketched(stars, nodes), "jaccard-sketched")
+    maybe = _linked(F.col("apart"), "a_size", "b_size")
+    exact = _intersected(sketched.filter(maybe), texts, nodes, seed, twins)
+    first = connected_components(exact.filter(maybe), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    first = materialize(first, "jaccard-first")
 
-    return both.mapInArrow(frugal(intersect), out)
+    far = sketched.filter(~maybe).select(F.col("a").alias("own_id"), F.col("b").alias("with"), _distance(F.col("apart"), "a_size", "b_size").alias("lo"), F.lit(1.0).alias("hi"))
+    known = _distance(F.col("apart"), "a_size", "b_size")
+    measured = materialize(exact.select(F.col("a").alias("own_id"), F.col("b").alias("with"), known.alias("lo"), known.alias("hi")).unionByName(far), "jaccard-measured")
+    probing = (F.col("own_id") != F.col("leader_id")) | (F.col("salt") > 0)
+    inside = lists.filter(probing).select("tok", "g", "own_id", "own_size", "own_pos", F.col("leader_id").alias("with"), F.lit(True).alias("home"))
+    members = inside.unionByName(guests.select("tok", "g", "own_id", "own_size", "own_pos", F.col("top_id").alias("with"), F.lit(False).alias("home")))
+    members = members.join(first.withColumnRenamed("id", "own_id"), "own_id", "left").withColumn("comp", F.coalesce("comp", "own_id"))
+    members = materialize(members, "jaccard-members")
+    several = members.groupBy("tok", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("some")).filter("lo != hi and some").select("tok", "g")
+    several = materialize(several, "jaccard-several")
+    mixed = materialize(members.join(several, ["tok", "g"]).join(measured, ["own_id", "with"], "left").fillna({"lo": 0.0, "hi": 1.0}), "jaccard-mixed")
+    x = mixed.filter("home").select("tok", "g", *[F.col(f"own_{c}").alias(f"a_{c}") for c in ("id", "size", "pos")], F.col("comp").alias("a_comp"), F.col("with").alias("a_with"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    y = mixed.filter(_early("own_size", "own_pos")).select("tok", "g", *[F.col(f"own_{c}").alias(f"b_{c}") for c in ("id", "size", "pos")], F.col("comp").alias("b_comp"), F.col("with").alias("b_with"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
+    larger = (F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_id") > F.col("b_id")))
+    reach = 1 - PERCENT / 100 + 1e-9
+    near = (F.col("a_with") != F.col("b_with")) | ((F.col("a_lo") - F.col("b_hi") <= reach) & (F.col("b_lo") - F.col("a_hi") <= reach))
+    cross = x.join(y, ["tok", "g"]).filter(larger & (F.col("a_comp") != F.col("b_comp")) & _comparable("a_size", "b_size") & _reachable("a_size", "a_pos", "b_size", "b_pos") & near)
+    cross = cross.select(F.col("a_id").alias("a"), "a_size", F.col("b_id").alias("b"), "b_size").distinct()
+    cross = materialize(_sketched(cross, nodes).filter(maybe), "jaccard-cross")
+    links = _intersected(cross, texts, nodes, seed, twins).filter(maybe)
+    comp_of = lambda c: first.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    joined = links.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("u"), F.coalesce("b_comp", "b").alias("v"))
+    second = materialize(connected_components(joined, "u", "v").select(F.col("node").alias("comp"), F.col("component").alias("joined")), "jaccard-second")
+    labels = first.join(second, "comp", "left").select(F.col("id").alias("digest"), F.coalesce("joined", "comp").alias("comp"))
+    alone = second.select(F.col("comp").alias("digest"), F.col("joined").alias("comp")).join(first.select(F.col("id").alias("digest")), "digest", "left_anti")
+    found = materialize(labels.unionByName(alone), "jaccard-labels")
+    for spent in (lists, tops, stars, sketched, exact, measured, members, several, mixed, cross):
+        discard(spent)
+    return found
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """``docs`` without its text, with n_shingles and component_id (of the type of ``id_col``)."""
     docs = docs.drop("n_shingles", "component_id")
-    texts = docs.select(F.col(text_col).alias("text"))
-    rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*[F.col(c) for c in rest if c != id_col], F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    signed = materialize(_signatures(rows, seed), "jaccard-rows")
+    places = list(range(len(docs.columns)))
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    texts = docs.toDF(*[f"__c{i}" for i in places]).withColumnRenamed(f"__c{text_at}", "__text")
+    signed = materialize(_signatures(texts.withColumn("__key", F.xxhash64("__text")), seed), "jaccard-rows")
+    id_name = f"__c{id_at}"
+    same = signed.filter(F.col("__digest").isNotNull()).groupBy("__digest").agg(F.min("__check").alias("c0"), F.max("__check").alias("c1"))
+    twins = frozenset(r[0] for r in same.filter("c0 != c1").select("__digest").collect())  # about 3 among 10^10 sets
+    key = F.col("__digest")
+    if twins:
+        key = F.when(key.isin(list(twins)), F.col("__check")).otherwise(key)
+    signed = signed.withColumn("__digest", key)
     nodes = materialize(
-        signed.filter(F.col("digest").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("__id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")),
+        signed.filter(F.col("__digest").isNotNull())
+        .groupBy(F.col("__digest").alias("digest"))
+        .agg(F.min(id_name).alias("first_id"), F.min("__key").alias("text_key"), F.max("n_shingles").alias("n"), F.max("__sketch").alias("sketch")),
         "jaccard-nodes",
     )
-    if nodes.filter("c0 != c1").limit(1).count():
-        raise ValueError("two sets have one digest; take another seed")
     sizes = {r.n: r.k for r in nodes.groupBy(F.least("n", F.lit(2 * MAX_BOUNDARY)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
     total = nodes.agg(F.sum("n")).first()[0] or 0
 
@@ -357,44 +501,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chosen = counts.filter(F.floor(F.log2("n")) >= least if least is not None else F.lit(False)).toArrow()  # MAX_COUNTED rows at most
     order = TokenOrder(chosen.column("key").to_numpy(), chosen.column("n").to_numpy())
     boundary = choose_boundary(sizes, sum(s for _, _, s in levels) / max(total, 1))
+    discard(counts)
 
-    by_token = Window.partitionBy("tok").orderBy("odd", "id")
-    running = by_token.rowsBetween(Window.unboundedPreceding, 0)
-    lists = _postings(texts, order, boundary, seed).select(
-        "tok", "id", "size", "pos", *[F.first(c).over(running).alias(n) for c, n in (("id", "leader"), ("size", "leader_size"), ("pos", "leader_pos"))], F.lag("id").over(by_token).alias("before")
-    )
-    lists = materialize(lists.filter((F.col("id") != F.col("leader")) & (F.col("id") != F.col("before"))).drop("before"), "jaccard-lists")
-
-    stars = lists.filter(_comparable("size", "leader_size") & _reachable("size", "pos", "leader_size", "leader_pos")).select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("leader").alias("b"), F.col("leader_size").alias("b_size")).distinct()
-    stars = materialize(_compare(materialize(stars, "jaccard-stars"), texts, nodes, seed), "jaccard-star-links")
-    first = connected_components(stars.filter(_linked("inter", "a_size", "b_size")), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    first = materialize(first, "jaccard-first")
-
-    distance = 1 - F.col("inter") / (F.col("a_size") + F.col("b_size") - F.col("inter"))
-    measured = stars.select(F.col("a").alias("id"), F.col("b").alias("leader"), distance.alias("d"))
-    members = lists.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(measured, ["id", "leader"], "left").select("tok", "id", "size", "pos", "comp", "d")
-    whole = Window.partitionBy("tok")
-    mixed = members.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    x, y = mixed.toDF("tok", "a", "a_size", "a_pos", "a_comp", "a_d"), mixed.toDF("tok", "b", "b_size", "b_pos", "b_comp", "b_d")
-    near = F.coalesce(F.abs(F.col("a_d") - F.col("b_d")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    cross = x.join(y, "tok").filter((F.col("a_comp") < F.col("b_comp")) & _comparable("a_size", "b_size") & _reachable("a_size", "a_pos", "b_size", "b_pos") & near)
-    cross = materialize(cross.select("a", "a_size", "b", "b_size", "a_comp", "b_comp").distinct(), "jaccard-cross")
-    compared = _compare(cross.drop("a_comp", "b_comp"), texts, nodes, seed).filter(_linked("inter", "a_size", "b_size"))
-    links = cross.join(compared.select("a", "b"), ["a", "b"]).select("a_comp", "b_comp")
-    second = connected_components(links, "a_comp", "b_comp").select(F.col("node").alias("comp"), F.col("component").alias("joined"))
-
-    labels = first.join(second, "comp", "left").select(F.col("id").alias("digest"), F.coalesce("joined", "comp").alias("comp"))
-    alone = second.select(F.col("comp").alias("digest"), F.col("joined").alias("comp")).join(first.select(F.col("id").alias("digest")), "digest", "left_anti")
-    grouped = nodes.select("digest", "first_id").join(labels.unionByName(alone), "digest")
-    least_id = grouped.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    linked = grouped.join(least_id, "comp").select("digest", "component_id")
-    classes = nodes.select("digest", "first_id").join(linked, "digest", "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id"))
+    labels = _classes(texts, nodes, order, boundary, seed, twins)
+    grouped = nodes.select("digest", "first_id").join(labels, "digest")
+    least_id = materialize(grouped.groupBy("comp").agg(F.min("first_id").alias("__component")), "jaccard-least")
+    linked = labels.join(least_id, "comp").select("digest", "__component")
+    classes = nodes.select("digest", "first_id").join(linked, "digest", "left").select(F.col("digest").alias("__digest"), F.coalesce("__component", "first_id").alias("__component"))
     classes = materialize(classes, "jaccard-classes")
-    for spent in (lists, stars, counts, cross):
+    for spent in (nodes, labels, least_id):
         discard(spent)
-    result = [F.col("__id").alias(id_col) if c == id_col else F.col(c) for c in rest]
-    some = signed.filter(F.col("digest").isNotNull()).join(classes, "digest").select(*result, "n_shingles", "component_id")
-    none = signed.filter(F.col("digest").isNull()).select(*result, "n_shingles", F.col("__id").alias("component_id"))
+    result = [F.col(f"__c{i}").alias(docs.columns[i]) for i in places if i != text_at]
+    some = signed.filter(F.col("__digest").isNotNull()).join(classes, "__digest").select(*result, "n_shingles", F.col("__component").alias("component_id"))
+    none = signed.filter(F.col("__digest").isNull()).select(*result, "n_shingles", F.col(id_name).alias("component_id"))
     return some.unionByName(none)
 
 

@@ -247,8 +247,9 @@ def near_copies(seed=7):
     return rows + [(3000 + i, t) for i, t in enumerate(ODD)] + [(3100, ODD[6]), (3100, ODD[6]), (None, rows[0][1]), (None, "lonely text of its own with words"), (None, None)]
 
 
-@pytest.mark.parametrize("boundary", [None, 0, 6, 12])
-def test_join_equals_the_sql(spark, tmp_path, monkeypatch, boundary):
+@pytest.mark.parametrize(("boundary", "hot"), [(None, 512), (0, 3), (6, 2), (12, 512)])
+def test_join_equals_the_sql(spark, tmp_path, monkeypatch, boundary, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     if boundary is not None:
         monkeypatch.setattr(jaccard_join, "choose_boundary", lambda *_: boundary)
     folder = write(spark, tmp_path, documents=documents(spark, near_copies()))
@@ -257,16 +258,55 @@ def test_join_equals_the_sql(spark, tmp_path, monkeypatch, boundary):
     assert result.filter("component_id = 961").count() == 40
 
 
+def test_sets_with_one_digest_stay_apart(spark, tmp_path, monkeypatch):
+    real = jaccard_join.digest
+    monkeypatch.setattr(jaccard_join, "digest", lambda s, twins=frozenset(), salt=0: real(s, salt=99) if salt or real(s) % 7 in twins else real(s) % 7)
+    folder = write(spark, tmp_path, documents=documents(spark, near_copies()[:60]))
+    same(jaccard_join.op5_jaccard_join(spark, folder), oracle(jaccard_join.ORACLE_SQL, folder, ["documents"]), "doc_id")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1), st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400)))
+def test_sketches_bound_the_difference(both, x, y):
+    sets = [np.array(sorted(both | s), np.uint64) for s in (x, y)]
+    sets = [np.unique(jaccard_join.mix(s)) for s in sets]
+    a, b = (jaccard_join.sketch(s) for s in sets)
+    while len(a) != len(b):
+        a, b = (a[: len(a) // 2] ^ a[len(a) // 2 :], b) if len(a) > len(b) else (a, b[: len(b) // 2] ^ b[len(b) // 2 :])
+    assert int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= len(np.setxor1d(*sets))
+
+
+def test_sketch_differences_in_columns(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (1, 60, 64, 65, 100, 128, 129, 300):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x, rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        rows.append((jaccard_join.sketch(x).tolist(), jaccard_join.sketch(y).tolist(), len(y) - len(x)))
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, d long").select("d", jaccard_join.sketch_difference(F.col("x"), F.col("y")).alias("n")).collect()
+    assert all(r.n <= r.d for r in got) and any(r.n > 0 for r in got)
+    assert all(r.n == 0 for r in spark.createDataFrame(rows, "x array<long>, y array<long>, d long").select(jaccard_join.sketch_difference(F.col("x"), F.col("x")).alias("n")).collect())
+
+
 def test_boundary_follows_the_cost():
     assert jaccard_join.choose_boundary({}, 2.0) == 0
     assert jaccard_join.choose_boundary({3: 1000, 300: 5}, 1.0) >= 3
     assert jaccard_join.choose_boundary({12: 1000}, 0.0) < 12
 
 
+CLASHING = ("digest", "check", "text_key", "id", "size", "tok", "comp", "a", "__key", "__digest", "__text", "sketch", "n")
+
+
 def test_join_on_nothing_and_clashing_names(spark):
-    df = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f")]).withColumn("component_id", F.lit("x")).withColumn("size", F.lit(1))
+    df = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)]).withColumn("component_id", F.lit("x"))
+    for i, name in enumerate(CLASHING):
+        df = df.withColumn(name, F.concat(F.lit(f"v{i}-"), F.col("doc_id").cast("string")))
+    df = df.withColumn("a.b", F.create_map(F.lit("k"), F.col("doc_id")))
     assert jaccard_join.link_documents(df.limit(0)).count() == 0
-    assert [r.component_id for r in jaccard_join.link_documents(df).collect()] == [1, 1]
+    rows = sorted(jaccard_join.link_documents(df).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in rows] == [1, 1, 3]
+    for r in rows:
+        assert [r[c] for c in CLASHING] == [f"v{i}-{r.doc_id}" for i in range(len(CLASHING))] and r["a.b"] == {"k": r.doc_id}
 
 
 # the pipeline
