@@ -12,8 +12,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Each step replaces a node's edges by edges to the smallest neighbour: minima are aggregated, so a node
-    of any degree needs no list of neighbours. Minima and edges are written to the shared folder before they are joined:
-    both sides of a join are then shuffled reads, of which Spark splits the edges of a node with very many.
+    of any degree needs no list of neighbours. In the first half of a step, minima and edges are read from the shared
+    folder when they are joined, so that Spark can split the edges of a node with very many; in the second half
+    a node has edges to smaller ones only, of which the first half has left few.
     Null ends, loops and repeated edges are ignored.
     """
     u, v = F.greatest(a, b), F.least(a, b)
@@ -24,15 +25,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "edges")
-        discard(least)
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-        rest = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = rest.unionByName(least.select("u", F.col("m").alias("v")))
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        rest = large.join(lower, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = rest.unionByName(lower.select("u", F.col("m").alias("v")))
         small = small.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         step = materialize(small, "edges")
         new = _mark(step)
-        for spent in (now, large, least):
+        for spent in (now, least):
             discard(spent)
         now = step
         if new == mark:

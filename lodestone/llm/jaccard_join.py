@@ -430,8 +430,7 @@ def _classes(texts: DataFrame, nodes: DataFrame, order: TokenOrder, boundary: in
     tops = materialize(top.select("tok", "g", *[F.col(f"t.own_{c}").alias(f"top_{c}") for c in ("id", "size", "pos")]), "jaccard-tops")
     guests = lists.filter(_early("own_size", "own_pos")).select("tok", (F.col("g") + 1).alias("g"), "own_id", "own_size", "own_pos").join(tops, ["tok", "g"])
     stars = _pairs(lists, "own_", "leader_").unionByName(_pairs(heads.filter("salt > 0").join(tops, ["tok", "g"]), "own_", "top_")).unionByName(_pairs(guests, "own_", "top_"))
-    stars = materialize(stars.distinct(), "jaccard-stars")
-    sketched = materialize(_sketched(stars, nodes), "jaccard-sketched")
+    sketched = materialize(_sketched(stars.distinct(), nodes), "jaccard-sketched")
     maybe = _linked(F.col("apart"), "a_size", "b_size")
     exact = _intersected(sketched.filter(maybe), texts, nodes, seed, twins)
     first = connected_components(exact.filter(maybe), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("comp"))
@@ -439,7 +438,7 @@ def _classes(texts: DataFrame, nodes: DataFrame, order: TokenOrder, boundary: in
 
     far = sketched.filter(~maybe).select(F.col("a").alias("own_id"), F.col("b").alias("with"), _distance(F.col("apart"), "a_size", "b_size").alias("lo"), F.lit(1.0).alias("hi"))
     known = _distance(F.col("apart"), "a_size", "b_size")
-    measured = materialize(exact.select(F.col("a").alias("own_id"), F.col("b").alias("with"), known.alias("lo"), known.alias("hi")).unionByName(far), "jaccard-measured")
+    measured = exact.select(F.col("a").alias("own_id"), F.col("b").alias("with"), known.alias("lo"), known.alias("hi")).unionByName(far)
     probing = (F.col("own_id") != F.col("leader_id")) | (F.col("salt") > 0)
     inside = lists.filter(probing).select("tok", "g", "own_id", "own_size", "own_pos", F.col("leader_id").alias("with"), F.lit(True).alias("home"))
     members = inside.unionByName(guests.select("tok", "g", "own_id", "own_size", "own_pos", F.col("top_id").alias("with"), F.lit(False).alias("home")))
@@ -456,14 +455,14 @@ def _classes(texts: DataFrame, nodes: DataFrame, order: TokenOrder, boundary: in
     cross = x.join(y, ["tok", "g"]).filter(larger & (F.col("a_comp") != F.col("b_comp")) & _comparable("a_size", "b_size") & _reachable("a_size", "a_pos", "b_size", "b_pos") & near)
     cross = cross.select(F.col("a_id").alias("a"), "a_size", F.col("b_id").alias("b"), "b_size").distinct()
     cross = materialize(_sketched(cross, nodes).filter(maybe), "jaccard-cross")
-    links = _intersected(cross, texts, nodes, seed, twins).filter(maybe)
+    links = cross if cross.isEmpty() else _intersected(cross, texts, nodes, seed, twins).filter(maybe)
     comp_of = lambda c: first.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
     joined = links.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("u"), F.coalesce("b_comp", "b").alias("v"))
     second = materialize(connected_components(joined, "u", "v").select(F.col("node").alias("comp"), F.col("component").alias("joined")), "jaccard-second")
     labels = first.join(second, "comp", "left").select(F.col("id").alias("digest"), F.coalesce("joined", "comp").alias("comp"))
     alone = second.select(F.col("comp").alias("digest"), F.col("joined").alias("comp")).join(first.select(F.col("id").alias("digest")), "digest", "left_anti")
     found = materialize(labels.unionByName(alone), "jaccard-labels")
-    for spent in (lists, tops, stars, sketched, exact, measured, members, several, mixed, cross):
+    for spent in (lists, tops, sketched, exact, members, several, mixed, cross):
         discard(spent)
     return found
 
