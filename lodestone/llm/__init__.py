@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_pii": pii.ORACLE_SQL,
+        "op1_pii_any_support": pii.ANY_SUPPORT_SQL,
         "op2_decontaminate": decontaminate.ORACLE_SQL,
         "op4_url_filter": url_filter.ORACLE_SQL,
         "op5_jaccard_join": jaccard_join.ORACLE_SQL,

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,10 +91,26 @@ def private_rows():
 
 
 def test_sanitisation_equals_the_sql(spark, tmp_path):
-    folder = write(spark, tmp_path, documents=documents(spark, private_rows()).distinct())
+    rows = private_rows()
+    folder = write(spark, tmp_path, documents=documents(spark, rows + rows[:40] + rows[:10] * 5))
     result = pii.op1_pii(spark, folder)
     same(result, oracle(pii.ORACLE_SQL, folder, ["documents"]), "doc_id")
     assert result.filter("spans like '%term%'").count() > 20
+    same(pii.op1_pii_any_support(spark, folder), oracle(pii.ANY_SUPPORT_SQL, folder, ["documents"]), "doc_id")
+
+
+def test_many_matches_in_one_text(spark, tmp_path):
+    rng = random.Random(6)
+    numbers = " ".join(str(rng.randrange(10**6)) + "," for _ in range(200_000))
+    mails = "; ".join(f"someone{i} wrote u{i}@mail.example.com, 10.{i % 200}.3.4" for i in range(5000))
+    folder = write(spark, tmp_path, documents=documents(spark, [(1, numbers), (2, mails), (3, mails + " again")]))
+    began = time.time()
+    got = {r.doc_id: r for r in pii.op1_pii_any_support(spark, folder).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_card, got[2].n_email, got[2].n_ip) == (0, 5000, 5000)
+    assert got[2].base_sha256 == got[3].base_sha256
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.read.parquet(f"{folder}/documents.parquet"), clean_col="text").collect()}
+    assert clean[1] == numbers and clean[2].count("[EMAIL], [IP]") == clean[3].count("[EMAIL], [IP]") == 5000
 
 
 def test_sanitised_texts(spark):
