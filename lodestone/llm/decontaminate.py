@@ -8,8 +8,10 @@ phrases (windows of ``WINDOW`` words, or the whole of a shorter item) are search
 their occurrences are located by walking to sampled positions, and overlapping occurrences are merged
 into removal spans of the texts.
 
-Benchmarks of any size are taken in blocks of ``BLOCK_BYTES``, one pass each; only one block's phrases
-are broadcast at a time. There is no shuffle. Words are compared by 64-bit hashes.
+Benchmarks of any size are taken in blocks of about ``BLOCK_BYTES``, one pass over the texts each. A pass's
+result is written to the shared folder before the next one begins and its broadcast is then given up, so that
+a task, and the driver, hold one block only. An item's text longer than a block is a block of its own.
+There is no shuffle of texts. Words are compared by 64-bit hashes.
 
 A null or empty text has no words, hits or items. Items without a word are never found; repeated items
 of one id count once; a null item id is ignored. Repeated documents each get a row. An empty benchmark
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spark_io import discard, materialize
 from .words import alnum_table, chunks, frugal, words
 
 WINDOW = 10
@@ -303,6 +306,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("removal_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
     names = {f.name for f in new}
     out = docs.select([docs[c] for c in docs.columns if c not in names])
+    written: DataFrame | None = None
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
@@ -375,6 +379,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 yield from flush(held, shard)
 
         out = out.mapInArrow(frugal(run), schema)
+        if not last_pass:
+            done = materialize(out, "decontaminate")
+            shared.unpersist()
+            if written is not None:
+                discard(written)
+            out = written = done
     return out
 
 

@@ -1,10 +1,12 @@
 """Operator 8: quality rules judged for documents and for their hosts.
 
-Each text is measured once (words, symbols, repeated lines and word windows). A document fails the base
-rules if it has under 50 words or if over half of its words lie in repeated 3-word windows. Failures are
-then summed for each host (the ``source`` column), the hosts' failure rates are shrunk with a beta prior
-fitted to all hosts by the method of moments, and documents of hosts whose shrunk rate exceeds
-``HOST_LIMIT`` are not kept. Shrinking keeps a host of two bad pages from being condemned.
+Each text is measured once (words, symbols, repeated lines and word windows) and judged by the RULES: too few
+words, too many words in repeated 3-word windows, too many symbols, too many repeated lines. The first two
+are the base rules, which a document must pass. Failures are then summed by rule for each host (the ``source``
+column). For each rule the hosts' failure rates are shrunk with a beta prior fitted to all hosts by the method
+of moments, and documents of hosts whose shrunk rate exceeds ``HOST_LIMIT`` under any rule are not kept.
+Shrinking keeps a host of two bad pages from being condemned. Rates are rounded to 9 places before they are
+compared, so that the order of sums decides nothing.
 
 A null text counts as empty: no words, so it fails. A null host has no verdict, so its documents are
 judged alone. Repeated rows each get a row. An empty table gives an empty result. Measures are written
@@ -28,11 +30,14 @@ from .words import chunks, frugal, lines_table, mix, spaces_table, windows, word
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: More symbols than one in so many characters, and repeated lines than one in so many words, fail a text.
+SYMBOL_SHARE, LINE_SHARE = 10, 20
 #: A host is rejected beyond this shrunk failure rate.
 HOST_LIMIT = 0.5
 BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
+RULES = ("few_words", "repetition", "symbols", "dup_lines")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _WORDS, _LINES = spaces_table(fold=False), lines_table()
@@ -76,11 +81,11 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def measure_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the MEASURES (longs) and base_failed to ``docs``, without ``text_col``, in one pass.
+    """Add the MEASURES (longs), failed_ and each of the RULES, and base_failed to ``docs``, without ``text_col``, in one pass.
 
     Input columns with those names are replaced.
     """
-    drop = {*MEASURES, "base_failed"}
+    drop = {*MEASURES, *(f"failed_{r}" for r in RULES), "base_failed"}
     kept = docs.select([docs[c] for c in docs.columns if c not in drop])
     at = kept.columns.index(text_col)
     rest = [i for i in range(len(kept.columns)) if i != at]
@@ -94,30 +99,30 @@ def measure_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     few = F.col("n_words") < MIN_WORDS
     repeated = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    return kept.mapInArrow(frugal(run), schema).withColumn("base_failed", few | repeated)
+    symbols = SYMBOL_SHARE * F.col("n_symbols") > F.col("word_chars")
+    lines = LINE_SHARE * F.col("n_dup_lines") > F.col("n_words")
+    failed = {f"failed_{r}": c for r, c in zip(RULES, (few, repeated, symbols, lines), strict=True)}
+    return kept.mapInArrow(frugal(run), schema).withColumns({**failed, "base_failed": few | repeated})
 
 
 def judge_hosts(measured: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """One row for each non-null host: n_docs, n_failed, host_rate (shrunk) and host_rejected."""
-    hosts = (
-        measured.filter(F.col(host_col).isNotNull())
-        .groupBy(host_col)
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    )
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"))  # one row
-    weight = F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1).otherwise(F.lit(PRIOR_WEIGHT[1]))
-    weight = F.least(F.greatest(weight, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
-    return (
-        hosts.join(F.broadcast(prior))
-        .withColumn("weight", weight)
-        .withColumn("host_rate", (F.col("mean") * F.col("weight") + F.col("n_failed")) / (F.col("weight") + F.col("n_docs")))
-        .select(host_col, "n_docs", "n_failed", "host_rate", (F.col("host_rate") > limit).alias("host_rejected"))
-    )
+    """One row for each non-null host: n_docs, and for each rule n_failed_, rate_ (shrunk), and host_rejected."""
+    failed = [F.sum(F.col(f"failed_{r}").cast("long")).alias(f"n_failed_{r}") for r in RULES]
+    hosts = measured.filter(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count(F.lit(1)).alias("n_docs"), *failed)
+    rate = lambda r: F.col(f"n_failed_{r}") / F.col("n_docs")
+    prior = hosts.agg(*[f(rate(r)).alias(f"{name}_{r}") for r in RULES for name, f in (("mean", F.avg), ("var", F.var_pop))])  # one row
+    judged = hosts.join(F.broadcast(prior))
+    for r in RULES:
+        mean, var = F.col(f"mean_{r}"), F.col(f"var_{r}")
+        weight = F.when(var > 0, mean * (1 - mean) / var - 1).otherwise(F.lit(PRIOR_WEIGHT[1]))
+        weight = F.least(F.greatest(weight, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
+        judged = judged.withColumn(f"rate_{r}", F.round((mean * weight + F.col(f"n_failed_{r}")) / (weight + F.col("n_docs")), 9))
+    rejected = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > limit
+    return judged.select(host_col, "n_docs", *[f"{n}_{r}" for r in RULES for n in ("n_failed", "rate")], rejected.alias("host_rejected"))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """``docs`` without its text, with the MEASURES, base_failed, host_rejected and kept."""
+    """``docs`` without its text, with the MEASURES, the failed rules, base_failed, host_rejected and kept."""
     measured = materialize(measure_documents(docs, text_col), "rules")
     hosts = materialize(judge_hosts(measured, host_col, limit).select(F.col(host_col).alias("__host"), "host_rejected"), "hosts")
     if hosts.count() <= BROADCAST_HOSTS:
@@ -155,14 +160,19 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)
 ), f AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m
+), failures AS (
+  SELECT source, 1 AS rule, n_words < 50 AS failed FROM m WHERE source IS NOT NULL
+  UNION ALL SELECT source, 2, 100 * n_repeat_words > 50 * n_words FROM m WHERE source IS NOT NULL
+  UNION ALL SELECT source, 3, 10 * n_symbols > word_chars FROM m WHERE source IS NOT NULL
+  UNION ALL SELECT source, 4, 20 * n_dup_lines > n_words FROM m WHERE source IS NOT NULL
 ), h AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f WHERE source IS NOT NULL GROUP BY source
+  SELECT source, rule, count(*) AS n, sum(failed::INT) AS bad FROM failures GROUP BY source, rule
 ), p AS (
-  SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h
+  SELECT rule, avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h GROUP BY rule
 ), q AS (
-  SELECT mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 1000.0 END, 2.0), 1000.0) AS weight FROM p
+  SELECT rule, mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 1000.0 END, 2.0), 1000.0) AS weight FROM p
 ), v AS (
-  SELECT source, (mean * weight + bad) / (weight + n) > 0.5 AS rejected FROM h, q
+  SELECT source, max(round((mean * weight + bad) / (weight + n), 9)) > 0.5 AS rejected FROM h JOIN q USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR coalesce(rejected, false)) AS kept

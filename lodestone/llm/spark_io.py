@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ MAX_BLOCKS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; one of our own where none is set and all runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[0-9*, ]+\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -320,8 +320,21 @@ def test_rules_on_nothing_and_by_hash_join(spark, monkeypatch):
     assert sorted(map(str, host_rules.apply_rules(df).collect())) == one
 
 
+def judged(spark, rows, **more):
+    """Hosts of rows (source, failed rules)."""
+    flags = [(h, *(r in f for r in host_rules.RULES)) for h, f in rows]
+    names = ", ".join(f"failed_{r} boolean" for r in host_rules.RULES)
+    return {r.source: r for r in host_rules.judge_hosts(spark.createDataFrame(flags, f"source string, {names}"), **more).collect()}
+
+
 def test_shrinking_spares_small_hosts(spark):
-    rows = [("big", i % 10 == 0) for i in range(1000)] + [("mid", i % 5 == 0) for i in range(100)] + [("tiny", True)]
-    hosts = host_rules.judge_hosts(spark.createDataFrame(rows, "source string, base_failed boolean"), limit=0.9).collect()
-    rates = {r.source: r.host_rate for r in hosts}
-    assert rates["tiny"] < 0.9 and not any(r.host_rejected for r in hosts) and abs(rates["big"] - 0.1) < 0.01
+    few = {True: ("few_words",), False: ()}
+    rows = [("big", few[i % 10 == 0]) for i in range(1000)] + [("mid", few[i % 5 == 0]) for i in range(100)] + [("tiny", few[True])]
+    hosts = judged(spark, rows, limit=0.9)
+    assert hosts["tiny"].rate_few_words < 0.9 and not any(r.host_rejected for r in hosts.values()) and abs(hosts["big"].rate_few_words - 0.1) < 0.01
+
+
+def test_one_rule_is_enough_but_rules_do_not_add_up(spark):
+    rows = [("marked", ("symbols",)) for i in range(60)] + [("some", (("few_words",), ("symbols",), ("dup_lines",))[i % 3]) for i in range(60)] + [(f"h{i}", ()) for i in range(30) for _ in range(20)]
+    hosts = judged(spark, rows)
+    assert hosts["marked"].host_rejected and not hosts["some"].host_rejected and hosts["marked"].rate_few_words < 0.1
