@@ -26,8 +26,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Words in the names of sites whose pages make up the query's list.
-LISTED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The query's list: URLs of the pages whose ids' MD5 sums begin with this digit.
+LISTED_DIGIT = "0"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,12 +83,21 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str
     return sure.unionByName(hits)
 
 
+def listed_elsewhere(pages: DataFrame) -> DataFrame:
+    """A block list (url) that does not follow from hosts or paths: one page in 16, by its id, is reported.
+
+    The list spells URLs in its own way (``http://www.``, host in capitals, ``/index.html``), so its entries meet those
+    pages, and all others that are the same page in other spellings, in canonical form only.
+    """
+    host, path = split_url(F.col("url"))
+    picked = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1) == LISTED_DIGIT
+    url = F.concat(F.lit("http://www."), F.upper(F.regexp_replace(host, r"^(?:www|m)\.", "")), F.regexp_replace(path, r"(?:/index)?(?:\.html?)?/*$", ""), F.lit("/index.html"))
+    return pages.filter(picked & (host != "")).select(url.alias("url"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: URLs of the pages on sites named in LISTED_SITES, with or without ``www.`` and the like."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    host, _ = split_url(F.col("url"))
-    listed = pages.filter(host.rlike(r"(?:^|\.)(?:" + "|".join(LISTED_SITES) + r")\.")).select("url")
-    return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, listed_elsewhere(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE_SQL = r"""
@@ -106,7 +115,7 @@ WITH p AS (
          WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
   FROM q
 ), listed AS (
-  SELECT DISTINCT canon FROM r WHERE host <> '' AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')
+  SELECT DISTINCT canon FROM r WHERE host <> '' AND substr(md5(page_id::VARCHAR), 1, 1) = '0'
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

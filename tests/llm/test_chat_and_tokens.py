@@ -100,18 +100,55 @@ def test_links_levels_and_errors(spark):
     assert {k[0]: r.level for k, r in by.items()} | {} == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None, "z": None, "s": None, None: None, "e": 0, "f": 0, "g": 0, "q": None}
     assert (by["a", 0].status, by["a", 0].n_results, json.loads(by["a", 0].record)["result"]) == ("linked", 2, "first")
     assert by["b", 1].status == "linked" and by["c", 2].status == "missing_result" and by["q", 9].status == by[None, 9].status == "orphan_result"
-    assert by["d", 3].errors == ["unresolved dependency"] and by["x", 0].errors == ["cyclic dependency"] and by["z", 2].errors == ["cyclic dependency"]
+    assert by["d", 3].errors == ["unresolved dependency"] and by["x", 0].errors == ["cyclic dependency"] and by["z", 2].errors == ["unresolved dependency", "cyclic dependency"]
     assert by[None, 0].errors == [] and by["e", 1].errors == ["unknown tool"] and by["f", 2].errors == by["g", 3].errors == ["/: not JSON"] and by["g", 4].errors == []
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0)).count() == 0
     assert tool_calls.link_tool_calls(calls.limit(0), results).count() == 5
 
 
+def link(spark, calls, results=(), schemas=None):
+    rows = tool_calls.link_tool_calls(spark.createDataFrame(calls, tool_calls.CALLS), spark.createDataFrame(list(results), tool_calls.RESULTS), schemas)
+    return {(r.conv_id, r.call_id): r for r in rows.collect()}
+
+
+def test_identifiers_belong_to_their_conversation(spark):
+    ok = json.dumps({"text": "a", "words": 9})
+    by = link(spark, [(1, 0, "call_0", "reply", ok, None), (2, 0, "call_0", "reply", ok, ["call_1"]), (2, 1, "call_1", "reply", ok, []), (None, 0, "call_0", "reply", ok, [])], [(1, 1, "call_0", "one"), (2, 1, "call_0", "two"), (None, 1, "call_0", "none")])
+    assert [json.loads(by[c, "call_0"].record)["result"] for c in (1, 2, None)] == ["one", "two", "none"]
+    assert all(by[c, "call_0"].n_results == 1 for c in (1, 2, None)) and (by[1, "call_0"].level, by[2, "call_0"].level) == (0, 1)
+
+
+def test_odd_arguments_are_errors(spark):
+    schema = {"t": {"type": ["object", "null"], "properties": {"n": {"type": "integer"}, "c": {"const": 1}}}, "bad": {"type": "nonsense"}, "none": False}
+    texts = ['{"text":"\\ud800x"}', "null", '{"n":NaN}', '{"n":Infinity}', '{"n":1e999}', '{"n":2.0}', '{"n":2.5}', '{"c":true}', '{"\\udfff":[]}', "[]"]
+    by = link(spark, [(1, i, str(i), "t", t, None) for i, t in enumerate(texts)] + [(1, 20, "bad", "bad", "{}", None), (1, 21, "none", "none", "1", [None, "0", "0"])], schemas=schema)
+    errors = [by[1, str(i)].errors for i in range(len(texts))]
+    assert errors == [[], [], ["/: not JSON"], ["/: not JSON"], ["/: not JSON"], [], ["/n: not integer"], ["/c: not the constant"], [], ["/: not object or null"]]
+    assert json.loads(by[1, "0"].record)["arguments"]["text"] == "\ud800x" and "NaN" not in by[1, "2"].record
+    assert by[1, "bad"].errors == ["/: schema cannot be applied (KeyError)"] and by[1, "none"].errors == ["/: not allowed"] and by[1, "none"].level == 1
+
+
+def test_levels_of_diamonds_take_few_rounds(spark, monkeypatch):
+    rng, n = random.Random(4), 40
+    calls = [(1, i, f"d{i}_{side}", "t", "1", [] if i == 0 else [f"d{i - 1}_a", f"d{i - 1}_b"]) for i in range(n) for side in "ab"]
+    calls += [(2, i, f"c{i}", "t", "1", rng.sample([f"c{j}" for j in range(i)], min(i, rng.randint(0, 6)))) for i in range(60)]
+    want = {(1, f"d{i}_{side}"): i for i in range(n) for side in "ab"}
+    for _, i, name, _, _, after in calls[2 * n :]:
+        want[2, name] = max((want[2, a] + 1 for a in after), default=0)
+    rounds = []
+    real = tool_calls.materialize
+    monkeypatch.setattr(tool_calls, "materialize", lambda df, tag: rounds.append(tag) or real(df, tag))
+    df = spark.createDataFrame(calls, tool_calls.CALLS).withColumnRenamed("conv_id", "conv")
+    assert {(r.conv, r.call_id): r.level for r in tool_calls.levels(df).collect()} == want
+    assert rounds.count("call-met") <= 12
+
+
 def test_conversations_equal_the_sql(spark, tmp_path):
     rng, v = random.Random(1), vocabulary(1)
     rows = []
     for conv in range(60):
         turn = rng.choice([0, 1])
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(1, 6)):
             for role in ("user", "assistant"):
                 if rng.random() < 0.85:
                     rows.append((conv, turn, role, sentence(rng, rng.randint(1, 20), v) + rng.choice(["", ' "é"\n', "\\ /\t"])))
