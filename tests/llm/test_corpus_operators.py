@@ -1,6 +1,7 @@
 """Sanitisation, decontamination, URL filters, the Jaccard join and the pipeline: SQL, brute force, odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -348,10 +349,11 @@ def test_pipeline(spark, tmp_path):
     assert set(out) == {*range(30), 300, 302}
     assert item not in out[300].text and out[300].n_chars == len(out[300].text)
     assert "[EMAIL]" in out[302].text and "bo@mail" not in out[302].text
-    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
-        encoder = bpe.ForcedBoundaryEncoder(f.read())
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
     for r in out.values():
-        assert bytes(r.token_ids) == encoder.encode(r.text)[0] and r.n_tokens == len(r.token_ids) // 4
+        assert np.frombuffer(bytes(r.token_ids), "<u4").tolist() == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.token_ids) // 4
     untouched = {i: t for i, t in rows if i < 30}
     assert all(out[i].text == untouched[i] for i in range(30))
     stage = pipeline.STAGES[0][1](spark, docs, folder)
@@ -359,15 +361,125 @@ def test_pipeline(spark, tmp_path):
     assert langid.UNKNOWN == "und"
 
 
-def test_pipeline_stages_keep_extra_columns_and_take_nothing(spark, tmp_path):
+EXTRA = ("score", "bits_per_byte", "lang_pred", "lang_phrases", "n_words", "n_hit", "item_ids", "removal_spans", "pii_spans", "n_tokens", "token_ids", "digest", "check", "text_key", "__key", "a.b")
+
+
+def test_pipeline_keeps_extra_columns_and_takes_nothing(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = documents(spark, [(1, "some words for the stage here", "en", None, 5), (None, "no id at all", None, None, None)]).withColumn("score", F.lit(1)).withColumn("digest", F.lit("x"))
+    text = "some words for the stage here and more of them mail bo@mail.example.com"
+    docs = documents(spark, [(1, text, "en", None, 5), (1, text, "en", None, 5), (2, text, "en", "s", 5), (None, "no id at all", None, None, None)])
+    for i, name in enumerate(EXTRA):
+        docs = docs.withColumn(name, F.concat(F.lit(f"v{i}-"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")))
+    docs = docs.withColumn("map", F.create_map(F.lit("k"), F.array("doc_id")))
     folder = write(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([], "item_id long, text string"))
-    for _, stage in pipeline.STAGES:
+
+    def check(rows):
+        for r in rows:
+            d = r.doc_id
+            assert [r[c] for c in EXTRA] == [f"v{i}-{d or 0}" for i in range(len(EXTRA))] and r["map"] == {"k": [d]}
+
+    for name, stage in pipeline.STAGES:
         got = stage(spark, docs, folder)
+        rows = got.collect()
         assert got.columns[: len(docs.columns)] == docs.columns
-        assert got.count() == 2
+        assert len(rows) == (2 if name == "jaccard_join" else 4)
+        check(rows)
         assert stage(spark, docs.limit(0), folder).count() == 0
+    out = pipeline.run(spark, folder)
+    assert out.columns == [*docs.columns, "n_tokens_", "token_ids_"]
+    check(out.collect())
+    assert out.count() == 2
+
+
+def brute_pipeline(spark, folder, rows, items):
+    """The pipeline's rows (id, text, token ids) in plain Python, with the SQL of op1 for the spans."""
+    from tokenizers import Tokenizer
+
+    from .test_text_operators import naive_phrases, packed, plain
+
+    docs = documents(spark, rows)
+    samples = langid.learn_samples(docs.filter(~langid.held_out()))
+    kept = []
+    for i, text, *_ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            continue
+        codes = plain(text)
+        bits, n = min((naive_phrases(s, codes) * math.log2(len(s)) / len(codes), naive_phrases(s, codes)) for _, s in samples)
+        if bits * (n - 1) <= langid.REJECT_BITS * n:
+            kept.append((i, text))
+
+    sets = {}
+    for i, text in kept:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                one, other = sorted((group[a], group[b]))
+                group = {k: one if v == other else v for k, v in group.items()}
+    kept = [(i, t) for i, t in kept if group[i] == i]
+
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    low = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+    windows = set()
+    for _, t in items:
+        w = word.findall(low(t))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    clean = []
+    for i, text in kept:
+        at = [m.span() for m in word.finditer(low(text))]
+        w = [low(text)[a:b] for a, b in at]
+        hit = [False] * len(w)
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit[k : k + size] = [True] * size
+        if w and all(hit):
+            continue
+        out, last, k = [], 0, 0
+        while k < len(w):
+            if hit[k]:
+                first = k
+                while k + 1 < len(w) and hit[k + 1]:
+                    k += 1
+                out.append(text[last : at[first][0]])
+                last = at[k][1]
+            k += 1
+        clean.append((i, "".join(out) + text[last:]))
+
+    write(spark, folder / "clean", documents=documents(spark, clean))
+    spans = {r.doc_id: r.spans for r in oracle(pii._oracle(1), folder / "clean", ["documents"]).itertuples()}
+    strong = {(r["__key"], s.start): s.value for r in pii.sanitise(spark.read.parquet(f"{folder}/clean/documents.parquet")).withColumn("__key", F.col("doc_id")).collect() for s in r.pii_spans if s.kind == "term"}
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    found = []
+    for i, text in clean:
+        out, last = [], 0
+        for kind, a, b in (s.split(":") for s in spans[i].split(",") if s):
+            a, b = int(a), int(b)
+            if a >= last:
+                out += [text[last:a], {"term": {"generalise": "[TERM]", "remove": ""}.get(strong.get((i, a))) or ""}.get(kind, f"[{kind.upper()}]")]
+            last = max(last, b)
+        done = "".join(out) + text[last:]
+        found.append((i, done, packed(library, done)))
+    return sorted(found)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng, v = random.Random(21), vocabulary(21, 300)
+    items = [(i, sentence(rng, n, v)) for i, n in enumerate([30, 12, 6])]
+    base = [sentence(rng, rng.randint(20, 90), v) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.upper()) for i, t in enumerate(base[:6])] + [(120 + i, t + " more") for i, t in enumerate(base[6:12])]
+    rows += [(200 + i, f"{sentence(rng, 20, v)}. {items[i % 3][1].title()}; {sentence(rng, 25, v)}") for i in range(9)] + [(220, items[0][1])]
+    rows += [(300 + i, f"{sentence(rng, 30, v)} {'xyz'[i % 3]}quimby {'xyz'[i % 3]}@mail.example.com, 10.0.0.{i} {sentence(rng, 12, v)}") for i in range(8)]
+    rows += [(400, "12 3!"), (401, ""), (402, None), (403, "Ж" * 3 + "ЫЯ " * 40), (404, "a"), (405, "日本語 テスト " * 5), (406, "\n".join(base[20:24]) * 3)]
+    folder = write(spark, tmp_path, documents=documents(spark, [(*r, "en", "s0", None) for r in rows]), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r.doc_id, r.text, bytes(r.token_ids)) for r in pipeline.run(spark, folder).collect())
+    want = brute_pipeline(spark, tmp_path, [(*r, "en", "s0", None) for r in rows], items)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert got == want
+    assert 20 < len(got) < len(rows) - 10
 
 
 def test_rows_that_share_an_id_only_are_not_merged(spark, tmp_path):
