@@ -38,6 +38,10 @@ class ZeroNorm(IndexInputError):
     pass
 
 
+class InvalidQueryIds(SearchError, ValueError):
+    """Null or repeated ids of queries."""
+
+
 class InvalidTopK(SearchError):
     def __init__(self, k: int):
         super().__init__(f"k must be at least 1, not {k}")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidTopK
 from ..functions.vectors import dot
-from .knn import RESULT, RunningTop, normalise_rows, query_blocks, rank_top, stack, unit
+from .knn import RESULT, RunningTop, few, knn_arrow, normalise_rows, query_blocks, rank_top, stack, unit
 
 # Fixed values of the method.
 MIN_ROWS, MIN_LISTS, MAX_LISTS = 256, 16, 512
@@ -31,6 +31,8 @@ UNSCALED_NORM_SQ = 1e-30
 
 #: Rows that seeding looks at.
 SEED_ROWS = 50_000
+#: Rows asked to measure how many probes a recall takes, and what the measured recall must exceed the wanted one by.
+RECALL_ROWS, RECALL_MARGIN = 64, 0.03
 
 
 def list_count(rows: int) -> int:
@@ -126,11 +128,15 @@ def update(matrix: DataFrame, centroids: np.ndarray) -> np.ndarray:
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), pa.array(list(sums[some]), pa.list_(pa.float64()))], names=["cluster", "n", "sums"])
 
+    def total(table: pa.Table) -> pa.Table:  # a row for each task that met the cluster
+        sums = stack(table.column("sums").combine_chunks()).sum(axis=0) / max(1, int(table.column("n").to_numpy().sum()))
+        return pa.table({"cluster": table.column("cluster").slice(0, 1), "mean": pa.array([sums], pa.list_(pa.float64()))})
+
     parts = matrix.select("vec").mapInArrow(partial, "cluster int, n long, sums array<double>")
-    summed = parts.select("cluster", "n", F.posexplode("sums").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     out = np.zeros((lists, dims))
-    table = summed.toArrow()  # MAX_LISTS x dims values
-    out[table.column("cluster").to_numpy(), table.column("pos").to_numpy()] = table.column("x").to_numpy() / np.maximum(table.column("n").to_numpy(), 1)
+    table = parts.groupBy("cluster").applyInArrow(total, "cluster int, mean array<double>").toArrow()  # MAX_LISTS rows
+    if table.num_rows:
+        out[table.column("cluster").to_numpy()] = stack(table.column("mean").combine_chunks())
     length = np.einsum("ij,ij->i", out, out)
     scaled = length > UNSCALED_NORM_SQ
     out[scaled] /= np.sqrt(length[scaled])[:, None]
@@ -151,20 +157,24 @@ def cluster_order(assigned: DataFrame) -> DataFrame:
 
 def probe(centroids: DataFrame, queries: DataFrame, probes: int) -> DataFrame:
     """(qid, rank, cluster, similarity): each query's nearest clusters."""
-    both = centroids.crossJoin(F.broadcast(queries.select("qid", "qvec")))
+    both = queries.select("qid", "qvec").crossJoin(F.broadcast(centroids.limit(MAX_LISTS)))
     scored = both.select("qid", F.col("cluster").cast("long").alias("row_id"), dot(F.col("cvec"), F.col("qvec")).alias("similarity"))
     return rank_top(scored, probes).select("qid", "rank", F.col("row_id").cast("int").alias("cluster"), "similarity")
 
 
 def candidates(assigned: DataFrame, probes: DataFrame) -> DataFrame:
-    """(qid, row_id) of all rows in the probed clusters."""
-    return assigned.select("cluster", "row_id").join(F.broadcast(probes.select("qid", "cluster")), "cluster").select("qid", "row_id")
+    """(qid, row_id) of all rows in the probed clusters. Few probes are broadcast, so that rows are not shuffled."""
+    return assigned.select("cluster", "row_id").join(_small(probes.select("qid", "cluster")), "cluster").select("qid", "row_id")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if few(rows) else rows
 
 
 def rerank(assigned: DataFrame, probes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top k among candidates, by expressions; ``probes`` and ``queries`` are small."""
-    asked = probes.select("qid", "cluster").join(F.broadcast(queries.select("qid", "qvec")), "qid")
-    both = assigned.join(F.broadcast(asked), "cluster")
+    """Exact top k among candidates, by expressions. Few probes are broadcast; more are joined by cluster."""
+    asked = probes.select("qid", "cluster").join(queries.select("qid", "qvec"), "qid")
+    both = assigned.join(_small(asked), "cluster")
     return rank_top(both.select("qid", "row_id", dot(F.col("vec"), F.col("qvec")).alias("similarity")), k)
 
 
@@ -180,15 +190,33 @@ class IvfIndex:
     def train(cls, matrix: DataFrame, rows: int, dims: int) -> IvfIndex:
         """``matrix``: row_id and unit vec. Assignments are those of the round before the last update."""
         lists = list_count(rows)
+        matrix = written(matrix)  # unit vectors are made once
         now = seed_centroids(_sample(matrix, rows), lists, rows, -(-dims // 8) * 8)
         before = now
         for _ in range(ROUNDS if lists > 1 else 0):
             before, now = now, update(matrix, now)
+            if np.array_equal(before, now):  # more rounds would change nothing
+                break
         return cls(now, assign(matrix, before), rows)
 
     def centroid_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)], "cluster int, cvec array<double>")
 
+    def probes_for(self, recall: float, k: int) -> int:
+        """Probes that give a mean recall of ``recall`` at k, measured: exact neighbours of RECALL_ROWS rows, picked by
+        the hash of their ids, and the places of the neighbours' clusters among each row's."""
+        rows = self.assigned.select(F.col("row_id").cast("long").alias("row_id"), "vec", "cluster")
+        picked = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(RECALL_ROWS).toArrow()
+        asked = self.assigned.sparkSession.createDataFrame(list(zip(picked.column("row_id").to_pylist(), picked.column("vec").to_pylist(), strict=True)), "qid long, qvec array<double>")
+        exact = knn_arrow(rows, asked, k, self.centroids.shape[1], normalized=True).select("qid", "row_id")
+        found = rows.select("row_id", "cluster").join(F.broadcast(exact), "row_id").toArrow()  # RECALL_ROWS x k rows
+        place = np.argsort(np.argsort(-(stack(picked.column("vec").combine_chunks()) @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        number = {q: i for i, q in enumerate(picked.column("row_id").to_pylist())}
+        places = place[[number[q] for q in found.column("qid").to_pylist()], found.column("cluster").to_numpy()]
+        share = np.cumsum(np.bincount(places, minlength=len(self.centroids))) / max(1, len(places))
+        enough = np.flatnonzero(share >= min(1.0, recall + RECALL_MARGIN))
+        return int(enough[0]) + 1 if len(enough) else len(self.centroids)
+
     def search(self, queries: DataFrame, k: int, normalized: bool = False, probes: int | None = None) -> DataFrame:
         """May return fewer than k rows for a query if its lists are short; never made-up ones."""
         if k < 1:
@@ -240,6 +268,11 @@ def _probed_scorer(shared, k: int):
     return run
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from the shared folder, if one is set; else kept by Spark, which makes lost parts again."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def prepare(matrix: DataFrame, normalized: bool) -> DataFrame:
     return unit(matrix.select("row_id", "vec"), "vec", normalized)
 

@@ -20,6 +20,8 @@ from ..functions.vectors import dot, l2_normalize
 
 #: Bytes of queries that one broadcast holds.
 QUERY_BLOCK_BYTES = 64 << 20
+#: Rows of a table that is broadcast.
+FEW_ROWS = 20_000
 RESULT = "qid long, row_id long, similarity double"
 
 
@@ -39,9 +41,17 @@ def knn_sql(matrix: DataFrame, queries: DataFrame, k: int, normalized: bool = Fa
     """``matrix`` (row_id, vec) and a small ``queries`` (qid, qvec), by expressions only."""
     if k < 1:
         raise InvalidTopK(k)
-    small = F.broadcast(unit(queries.select("qid", "qvec"), "qvec", normalized))
-    both = unit(matrix.select("row_id", "vec"), "vec", normalized).crossJoin(small)
-    return rank_top(both.select("qid", "row_id", dot(F.col("vec"), F.col("qvec")).alias("similarity")), k)
+    asked = unit(queries.select("qid", "qvec"), "qvec", normalized)
+    if not few(asked):
+        return knn_arrow(matrix, queries.select("qid", "qvec"), k, matrix.select(F.size("vec")).first()[0], normalized)
+    both = unit(matrix.select("row_id", "vec"), "vec", normalized).crossJoin(F.broadcast(asked))
+    scored = both.select("qid", "row_id", dot(F.col("vec"), F.col("qvec")).alias("similarity"))
+    return rank_top(scored, k)
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether a table is small enough to be broadcast: at most FEW_ROWS rows. Reads no more than these."""
+    return rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
 
 
 def single_top(matrix: DataFrame, query: list[float], k: int, normalized: bool = False) -> DataFrame:
@@ -92,10 +102,12 @@ class RunningTop:
         self.merge(scores, np.broadcast_to(ids, scores.shape))
 
     def merge(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        if scores.shape[1] > self.k:  # everything above the k-th score, and the ties at it
+        if scores.shape[1] > self.k:  # each query's scores from the k-th on, ties at it included
             cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-            keep = np.flatnonzero((scores >= cut[:, None]).any(axis=0))
-            scores, ids = scores[:, keep], ids[:, keep]
+            width = int((scores >= cut[:, None]).sum(axis=1).max(initial=0))
+            if width < scores.shape[1]:
+                keep = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+                scores, ids = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
         all_scores, all_ids = np.hstack([self.scores, scores]), np.hstack([self.ids, ids])
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
         self.scores, self.ids = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
@@ -19,6 +19,7 @@ from .plans.index import VectorIndex
 from .sources import code_files, tables
 
 K, STEP, PROBES = 10, 20, 3
+RECALL = 0.9
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def top1_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_exceeds_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is ranked for the queries."""
+    """Every row is ranked for the queries: the result has as many rows as pairs, which is what it is for."""
     rows = _rows(spark, sf_dir)
     return _rounded(_index(spark, sf_dir).search(_asked(rows), 1_000_000))
 
@@ -137,25 +138,34 @@ def _label_centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     mean = unit.select("label", F.posexplode("vec").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
     centroids = mean.groupBy("label").agg(ordered.alias("c")).select(F.col("label").alias("cluster"), V.l2_normalize(F.col("c")).alias("cvec"))
-    nearest = ivf.probe(centroids, unit.select(F.col("row_id").alias("qid"), F.col("vec").alias("qvec")), 1)
-    assigned = unit.join(nearest.select(F.col("qid").alias("row_id"), "cluster"), "row_id").select("row_id", "vec", "cluster")
+    table = centroids.orderBy("cluster").limit(ivf.MAX_LISTS).toArrow()
+    numbers = F.array(*[F.lit(int(n)) for n in table.column("cluster").to_numpy()])
+    placed = ivf.assign(unit.select("row_id", "vec"), np.array(table.column("cvec").to_pylist()))  # in the scan, by the centroids alone
+    assigned = placed.select("row_id", "vec", F.element_at(numbers, F.col("cluster") + 1).alias("cluster"))
     return unit.select("row_id", "vec"), centroids, assigned
 
 
 def kmeans_assign_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit, centroids, _ = _label_centroids(spark, sf_dir)
-    table = centroids.orderBy("cluster").toArrow()
-    numbers = table.column("cluster").to_numpy()
-    found = ivf.assign(unit, np.array(table.column("cvec").to_pylist()))
-    return found.select("row_id", F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col("cluster") + 1).alias("cluster"))
+    return _label_centroids(spark, sf_dir)[2].select("row_id", "cluster")
 
 
 def kmeans_update_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit, centroids, _ = _label_centroids(spark, sf_dir)
-    table = centroids.orderBy("cluster").toArrow()
-    new = ivf.update(unit, np.array(table.column("cvec").to_pylist()))
-    rows = [(int(c), pos, round(float(x), 6)) for c, v in zip(table.column("cluster").to_numpy(), new, strict=True) for pos, x in enumerate(v)]
-    return spark.createDataFrame(rows, "cluster int, pos int, x double")
+    """Means of the assigned rows, scaled to unit length; zeros for a cluster without rows."""
+    _, centroids, assigned = _label_centroids(spark, sf_dir)
+    mean = assigned.select("cluster", F.posexplode("vec").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("m"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])  # dims values
+    new = mean.groupBy("cluster").agg(V.l2_normalize(ordered).alias("v"))
+    every = centroids.join(new, "cluster", "left").select("cluster", F.coalesce("v", F.transform("cvec", lambda x: x * 0)).alias("v"))
+    return every.select("cluster", F.posexplode("v").alias("pos", "x")).select("cluster", "pos", F.round("x", 6).alias("x"))
+
+
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place when rows of a cluster stand together, by id: the cluster's begin plus the place within it."""
+    assigned = _label_centroids(spark, sf_dir)[2]
+    within = F.row_number().over(Window.partitionBy("cluster").orderBy("row_id")) - 1
+    placed = ivf.cluster_order(assigned.select("row_id", "cluster")).withColumn("within", within)
+    begins = F.broadcast(ivf.histogram(assigned).select("cluster", "begins"))  # MAX_LISTS rows
+    return placed.join(begins, "cluster").select("row_id", "cluster", (F.col("begins") + F.col("within")).alias("place"))
 
 
 def cluster_histogram_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +215,19 @@ def recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ivf_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes as many of the trained lists as a recall of RECALL takes."""
+    rows = _rows(spark, sf_dir)
+    return _rounded(_index(spark, sf_dir, approx=True, recall=RECALL).search(_asked(rows), K))
+
+
+def ivf_recall_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of that search against the exact one, for each query, with its lists and probes."""
     rows = _rows(spark, sf_dir)
-    return _rounded(_index(spark, sf_dir, approx=True).search(_asked(rows), K))
+    index = _index(spark, sf_dir, approx=True, recall=RECALL)
+    approx, exact = index.search(_asked(rows), K), _index(spark, sf_dir).search(_asked(rows), K)
+    q = evaluate.per_query(exact, approx)
+    lists = len(index.fit()._ivf.centroids) if index._ivf else 1
+    return q.select("qid", F.round(F.col("overlap").cast("double"), 6).alias("recall"), F.lit(lists).alias("lists"), F.lit(index.probes(K) or 1).alias("probes"))
 
 
 def _documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +252,35 @@ def definition_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.definition_lines(lines, ".js")
 
 
+def _tag_lines(spark: SparkSession, sf_dir: str, opening: str) -> DataFrame:
+    """Pages cut into lines at their tags, with ``opening`` in front of lines that begin with an article."""
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    lines = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", "\n"), "(?i)\n(the|de|die|der|la|el) ", f"\n{opening} ")
+    return df.select(F.col("page_id").cast("string").alias("file_path"), lines.alias("content"))
+
+
+def rust_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.definition_lines(_tag_lines(spark, sf_dir, "pub(crate) unsafe fn"), ".rs")
+
+
+def typed_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.definition_lines(_tag_lines(spark, sf_dir, "export abstract interface"), ".ts")
+
+
+def python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of a Python source for each order: decorated functions, classes and assignments by return flag."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag")
+    n = F.col("l_linenumber").cast("string")
+    code = (
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("@seen\ndef f"), n, F.lit("():\n    return 1\n")))
+        .when(F.col("l_returnflag") == "A", F.concat(F.lit("class C"), n, F.lit(":\n    def inner(self): pass\n")))
+        .otherwise(F.concat(F.lit("x"), n, F.lit(" = 1\n")))
+    )
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", code.alias("code"))))  # lines of one order
+    files = items.groupBy("l_orderkey").agg(F.array_join(F.transform(parts, lambda p: p["code"]), "").alias("content"))
+    return chunking.parsed_definition_lines(files.select(F.col("l_orderkey").cast("string").alias("file_path"), "content"))
+
+
 def search_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank, place and preview of the small documents whose ids the nearest rows have, as its SQL has it.
 
@@ -281,7 +331,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_nested, medoid_row, kmeans_assign_once, kmeans_update_once, cluster_histogram_offsets, ivf_parameters, ivf_probe,
         ivf_candidates, ivf_search_label_centroids, recall_metrics, recall_summary, ivf_search_trained, chunk_small_documents,
         chunk_sliding_documents, definition_boundaries, search_result_lines, file_predicates, index_info,
-        search_result_chunks,
+        search_result_chunks, cluster_order, ivf_recall_trained, rust_definitions, typed_definitions, python_definitions,
     ]
     return {f.__name__: f for f in found}
 
@@ -315,6 +365,12 @@ _METRICS = """
               FROM exact x JOIN approx a ON x.qid = a.qid AND x.rank = a.rank GROUP BY ALL)
 , metrics AS (SELECT qid, coalesce(n, 0) / k AS overlap, coalesce(top, 0) AS top1_match, CASE WHEN ideal > 0 THEN coalesce(gain, 0) / ideal ELSE 0 END AS ndcg,
               rank_mae, overlap_mae, top1_delta, exact_mean, approx_mean FROM ideal LEFT JOIN both_ids USING (qid) LEFT JOIN by_rank USING (qid))"""
+def _tag_sql(opening: str, pattern: str) -> str:
+    return rf"""WITH c AS (SELECT page_id::VARCHAR AS file_path, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '(?i)\n(the|de|die|der|la|el) ', chr(10) || '{opening} ', 'g'), chr(10)) AS l FROM pages)
+            , u AS (SELECT file_path, unnest(l) AS t, generate_subscripts(l, 1)::INT AS line FROM c)
+            SELECT file_path, line FROM u WHERE regexp_matches(t, '{pattern}')"""
+
+
 _SMALL = r"""
 small AS (
   SELECT doc_id, '/docs/' || doc_id || '.txt' AS file_path, text, len(string_split(text, chr(10)))::INT AS end_line,
@@ -395,5 +451,11 @@ def oracle_sql() -> dict[str, str]:
         "file_predicates": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)
             SELECT page_id, regexp_matches(path, '(^|/)\.') AS hidden, regexp_matches(regexp_replace(path, '\.html$', '.pdf'), '\.(pdf|png|gz|zip|so|o|a|db)$') AS "binary",
             regexp_matches(path, '^(.*/)?(en|[^\n]*\.html|9[0-9].*)(/.*)?$') AS ignored FROM p""",
+        "cluster_order": f"WITH {_UNIT}{_CENTROIDS} SELECT row_id, cluster, row_number() OVER (ORDER BY cluster, row_id) - 1 AS place FROM assigned",
+        "rust_definitions": _tag_sql("pub(crate) unsafe fn", r"^(pub(\([a-z]*\))?\s+|unsafe\s+)*(const|enum|fn|impl|mod|static|struct|trait|type|union)[\s*<]"),
+        "typed_definitions": _tag_sql("export abstract interface", r"^((export|default|async|abstract|declare|const)\s+)*(class|function|enum|interface|namespace|type)[\s*<]"),
+        "python_definitions": """WITH i AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS n FROM lineitem)
+            , p AS (SELECT l_orderkey, l_returnflag, sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) - n + 1 AS begins FROM i)
+            SELECT l_orderkey::VARCHAR AS file_path, (begins + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INT AS line FROM p WHERE l_returnflag IN ('R', 'A')""",
         "index_info": "SELECT count(*) AS rows, max(len(embedding))::INT AS dims, 'cpu' AS backend, false AS normalized, 0::INT AS lists FROM embeddings",
     }

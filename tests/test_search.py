@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import queries
+from lodestone import errors, queries
 from lodestone.operators import chunking, evaluate, ivf, knn, results
 from lodestone.options import IndexOptions
 from lodestone.plans.index import VectorIndex
@@ -135,6 +135,44 @@ def test_seeding_repeats_when_all_rows_are_equal():
     assert ivf.seed_centroids(np.ones((4, 2)) / 2**0.5, 3, 4, 8).shape == (3, 2)
 
 
+def test_wanted_recall_is_reached(spark):
+    r = np.random.default_rng(3)
+    m = r.normal(size=(2000, 32)).astype(np.float32)
+    rows, q = tables.from_local(spark, m), asked(spark, m[::40])
+    index = VectorIndex(rows, IndexOptions(approx=True, enable_cache=False, recall=0.9))
+    s = evaluate.summary(VectorIndex(rows, IndexOptions(enable_cache=False)).search(q, 10), index.search(q, 10)).first()
+    assert s.mean_overlap >= 0.9 and 1 < index.probes(10) < 44
+
+
+def test_top_with_many_ties():
+    top = knn.RunningTop(2, 3)
+    top.add(np.array([[1.0, 1, 1, 1, 0], [0, 2, 1, 3, 1]]), np.array([9, 4, 7, 1, 2]))
+    top.add(np.array([[1.0, 0.5], [1, 1]]), np.array([0, 3]))
+    assert top.ids.tolist() == [[0, 1, 4], [1, 4, 0]]
+
+
+def test_ids_must_be_right(spark):
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(4)], "row_id long, vec array<double>")
+    index = VectorIndex(rows, IndexOptions(enable_cache=False))
+    ask = lambda ids: spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "qid long, qvec array<double>")
+    for ids in ([None], [1, 1]):
+        with pytest.raises(errors.InvalidQueryIds):
+            index.search(ask(ids), 2)
+    payload = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (9, "d")], "id long, x string")
+    with pytest.raises(errors.PayloadMismatch):
+        index.search(ask([1]), 2, payload, "id")
+    with pytest.raises(errors.NullValues):
+        VectorIndex(rows.unionByName(spark.createDataFrame([(None, [1.0, 1.0])], rows.schema)), IndexOptions(enable_cache=False)).fit()
+
+
+def test_many_queries_are_not_broadcast_as_a_table(spark, monkeypatch):
+    m = np.random.default_rng(5).normal(size=(60, 4)).astype(np.float32)
+    rows, q = tables.from_local(spark, m), asked(spark, m[:9])
+    one = sorted(map(tuple, knn.knn_sql(rows, q, 4).withColumn("similarity", F.round("similarity", 9)).collect()))
+    monkeypatch.setattr(knn, "FEW_ROWS", 3)
+    assert sorted(map(tuple, knn.knn_sql(rows, q, 4).withColumn("similarity", F.round("similarity", 9)).collect())) == one
+
+
 @pytest.mark.parametrize(("rows", "dims", "k", "bar", "seed"), [(2048, 64, 10, 0.5, 42), (4096, 64, 20, 0.6, 7)])
 def test_approximate_recall(spark, rows, dims, k, bar, seed):
     r = np.random.default_rng(seed)
