@@ -131,35 +131,56 @@ def argument_errors(value: Any, schema: dict | bool | None) -> list[str]:
     return [re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", x) for x in found]
 
 
+def _needed(edges: DataFrame) -> DataFrame:
+    """``edges`` (conv, call_id, dep, at, w) without those that a way of two edges, of as many steps or more, makes idle.
+
+    The call between must come after the dependency, by (at, id): so of a call's edges to calls on or above a cycle the
+    one that comes last stays, and cycles stay cycles. Levels stay too: the longest ways have edges that stay. Ways
+    are looked for under the limits FAN and EDGES.
+    """
+    counts = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"))
+    above = edges.join(counts.filter(F.col("n") <= EDGES), ["conv", "call_id"]).select("conv", "call_id", F.col("dep").alias("over"), F.col("at").alias("over_at"), F.col("w").alias("first"))
+    below = edges.join(counts.filter(F.col("n") <= FAN), ["conv", "call_id"]).select("conv", F.col("call_id").alias("over"), "dep", "at", F.col("w").alias("second"))
+    ways = above.join(below, ["conv", "over"]).filter(F.struct("over_at", "over") > F.struct("at", "dep"))
+    longest = ways.groupBy("conv", "call_id", "dep").agg(F.max(F.col("first") + F.col("second")).alias("way"))
+    kept = edges.join(longest, ["conv", "call_id", "dep"], "left").filter(F.col("way").isNull() | (F.col("way") < F.col("w")))
+    return kept.select("conv", "call_id", "dep", "at", "w")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv, call_id, level) of calls (conv, call_id, after): topological levels over ``after``; null on and above cycles.
+    """(conv, call_id, level) of calls (conv, call_id, after, and turn if there is one): topological levels over ``after``;
+    null on and above cycles.
 
     Each round fixes the calls whose dependencies are all fixed, and lets edges skip over dependencies that have at
-    most FAN of their own, adding up the steps, for calls with at most EDGES edges. Ways of n steps, diamonds among
-    them, so take log n rounds; where calls have more dependencies than that, a round for each level.
+    most FAN of their own, adding up the steps, for calls with at most EDGES edges. Idle edges are dropped before, so
+    that skips do not add up edges. Ways of n steps, diamonds and lattices among them, so take log n rounds; where
+    calls need more dependencies than that, a round for each level.
     """
     known = calls.filter(F.col("call_id").isNotNull())
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long")) if "turn" in calls.columns else F.lit(0).cast("long")
     nodes = known.select("conv", "call_id").distinct()
-    edges = known.select("conv", "call_id", F.explode("after").alias("dep")).distinct()
-    edges = edges.join(nodes.withColumnRenamed("call_id", "dep"), ["conv", "dep"])
-    edges = materialize(edges.select("conv", "call_id", "dep", F.lit(1).cast("long").alias("w")), "call-edges")
+    places = known.select("conv", F.col("call_id").alias("dep"), at.alias("at")).groupBy("conv", "dep").agg(F.min("at").alias("at"))
+    whole = known.select("conv", "call_id", F.explode("after").alias("dep")).distinct().join(places, ["conv", "dep"])
+    whole = materialize(whole.select("conv", "call_id", "dep", "at", F.lit(1).cast("long").alias("w")), "call-edges")
+    edges = materialize(_needed(whole), "call-edges")
+    discard(whole)
     done = materialize(nodes.join(edges, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).cast("long").alias("level")), "call-levels")
     while not edges.isEmpty():
         fixed = done.withColumnRenamed("call_id", "dep")
         counts = edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"))
-        below = edges.join(counts.filter(F.col("n") <= FAN), ["conv", "call_id"]).select("conv", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("w").alias("more"))
+        below = edges.join(counts.filter(F.col("n") <= FAN), ["conv", "call_id"]).select("conv", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("at").alias("next_at"), F.col("w").alias("more"))
         few = edges.join(counts, ["conv", "call_id"]).join(fixed, ["conv", "dep"], "left")
         far = F.when(F.col("level").isNull() & (F.col("n") <= EDGES), F.col("dep")).alias("over")
-        met = few.select("conv", "call_id", "dep", "w", "level", far).join(below.withColumnRenamed("dep", "over"), ["conv", "over"], "left")
+        met = few.select("conv", "call_id", "dep", "at", "w", "level", far).join(below.withColumnRenamed("dep", "over"), ["conv", "over"], "left")
         skips = F.col("next").isNotNull()
-        met = met.select("conv", "call_id", F.when(skips, F.col("next")).otherwise(F.col("dep")).alias("dep"), F.when(skips, F.least(F.col("w") + F.col("more"), F.lit(1 << 50))).otherwise(F.col("w")).alias("w"), (F.col("level") + F.col("w")).alias("value"))
-        met = materialize(met.groupBy("conv", "call_id", "dep").agg(F.max("w").alias("w"), F.when(F.count("value") == F.count(F.lit(1)), F.max("value")).alias("value")), "call-met")
+        met = met.select("conv", "call_id", F.when(skips, F.col("next")).otherwise(F.col("dep")).alias("dep"), F.when(skips, F.col("next_at")).otherwise(F.col("at")).alias("at"), F.when(skips, F.least(F.col("w") + F.col("more"), F.lit(1 << 50))).otherwise(F.col("w")).alias("w"), (F.col("level") + F.col("w")).alias("value"))
+        met = materialize(met.groupBy("conv", "call_id", "dep").agg(F.max("at").alias("at"), F.max("w").alias("w"), F.when(F.count("value") == F.count(F.lit(1)), F.max("value")).alias("value")), "call-met")
         ready = met.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("k"), F.max("value").alias("level")).filter("n = k").select("conv", "call_id", "level")
         ready = materialize(ready, "call-ready")
         if ready.isEmpty():
             break
         done = done.unionByName(ready)
-        rest = materialize(met.join(ready, ["conv", "call_id"], "left_anti").select("conv", "call_id", "dep", "w"), "call-edges")
+        rest = materialize(_needed(met.join(ready, ["conv", "call_id"], "left_anti").select("conv", "call_id", "dep", "at", "w")), "call-edges")
         for spent in (edges, met):
             discard(spent)
         edges = rest

@@ -143,6 +143,33 @@ def test_levels_of_diamonds_take_few_rounds(spark, monkeypatch):
     assert rounds.count("call-met") <= 12
 
 
+def brute_levels(after):
+    """Longest ways by repeated fixing of calls whose dependencies are fixed; None for the others."""
+    found = {}
+    while ready := [c for c in after if c not in found and all(d in found for d in after[c])]:
+        found |= {c: max((found[d] + 1 for d in after[c]), default=0) for c in ready}
+    return {c: found.get(c) for c in after}
+
+
+def test_levels_of_lattices_and_cycles(spark, monkeypatch):
+    rng = random.Random(7)
+    convs = {1: {f"call_{t}": [f"call_{d}" for d in ((t - 4, t - 2) if t >= 4 and t % 4 == 0 else (t - 2,)) if d >= 0] for t in range(0, 400, 2)}}
+    convs[2] = {f"n{i}": [f"n{j}" for j in (i - 1, i - 3) if j >= 0] for i in range(120)}
+    for conv in range(3, 15):  # with cycles of any length, loops, and calls above them
+        n = rng.randint(2, 14)
+        convs[conv] = {f"k{i}": [f"k{j}" for j in rng.sample(range(n), rng.randint(0, min(3, n)))] for i in range(n)}
+    convs[15] = {"a": ["b"], "b": ["a"], "x": ["a", "b"], "y": ["x", "z"], "z": []}
+    turn = lambda name, conv: int("".join(c for c in name if c.isdigit()) or 0) if conv != 2 else None
+    rows = [(conv, turn(name, conv), name, "t", "1", deps) for conv, after in convs.items() for name, deps in after.items()]
+    rounds = []
+    real = tool_calls.materialize
+    monkeypatch.setattr(tool_calls, "materialize", lambda df, tag: rounds.append(tag) or real(df, tag))
+    df = spark.createDataFrame(rows, tool_calls.CALLS).withColumnRenamed("conv_id", "conv")
+    want = {(conv, name): level for conv, after in convs.items() for name, level in brute_levels(after).items()}
+    assert {(r.conv, r.call_id): r.level for r in tool_calls.levels(df).collect()} == want
+    assert rounds.count("call-met") <= 14
+
+
 def test_conversations_equal_the_sql(spark, tmp_path):
     rng, v = random.Random(1), vocabulary(1)
     rows = []
