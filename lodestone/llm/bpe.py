@@ -265,7 +265,7 @@ class ForcedBoundaryEncoder:
         all_ids, all_counts = [], []
         for _, data, offsets in chunks(texts):
             found = words(data, offsets, _TABLE)
-            _, first, which = np.unique(found.hashes() ^ (found.end - found.start).astype(np.uint64), return_index=True, return_inverse=True)
+            _, first, which = np.unique(found.hashes(), return_index=True, return_inverse=True)
             ids, sizes = self._encode_distinct(data, found.start[first], found.end[first])
             all_ids.append(ids[_places(np.cumsum(sizes) - sizes, sizes, which)])
             total = np.concatenate([[0], np.cumsum(sizes[which])])

@@ -345,7 +345,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                         texts = batch.column(at)
                         for i in cuts_in:  # words in the merged spans
                             raw = (texts[i].as_py() or "").encode()
-                            hit[i] = sum(len(words(np.frombuffer(raw[s:e], np.uint8), np.array([0, e - s]), _TABLE, False).start) for s, e in cuts[i])
+                            hit[i] = sum(len(words(np.frombuffer(raw[s:e], np.uint8), np.array([0, e - s]), _TABLE).start) for s, e in cuts[i])
                     columns = {name: batch.column(batch.schema.get_field_index(name)) for name in carried}
                     if last_pass and clean_col:
                         texts = batch.column(at)

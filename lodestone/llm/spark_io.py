@@ -15,6 +15,8 @@ PROBES = 4
 #: The filter never has more blocks than this (2 MB of longs), whatever the list's size, so that
 #: broadcasting it is safe; a longer list raises the false positive rate only.
 MAX_BLOCKS = 1 << 18
+#: The folder of our own in local mode, once it is needed.
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[[0-9*, ]+\])?", master):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 

@@ -1,8 +1,8 @@
 """Word tables over Arrow string columns, computed on UTF-8 bytes with NumPy.
 
-A word is a maximal run of bytes that a 256-entry table keeps; the table also folds letters. Words,
-lines and windows get 64-bit hashes from one running polynomial sum, so no Python object is made
-for each word. Work is done in chunks of about ``CHUNK`` bytes, whole documents each, which bounds
+A word is a maximal run of bytes that a 256-entry table keeps; the table also folds letters. Words and
+lines get 64-bit hashes of all their bytes, eight at a time for all words together, so no Python object is
+made for a word (but for those of over ``LONG`` bytes). Work is done in chunks of about ``CHUNK`` bytes, whole documents each, which bounds
 memory whatever the Arrow batch or the partition holds.
 """
 
@@ -15,24 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
-_SEED = np.random.Generator(np.random.PCG64(20240229))
-_CODE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first 0 to 8 bytes of a little-endian long.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Multipliers of the words of a window.
-SLOTS = _SEED.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
-_power = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
-
-
-def _powers(sign: int, n: int) -> np.ndarray:
-    have = _power[sign]
-    if len(have) < n:
-        step = np.full(n, _BASE if sign > 0 else _INVERSE, np.uint64)
-        step[0] = 1
-        have = _power[sign] = np.multiply.accumulate(step)
-    return have
+SLOTS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
 def release() -> None:
@@ -118,7 +110,6 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    sums: np.ndarray | None
 
     @property
     def count(self) -> np.ndarray:
@@ -128,13 +119,24 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
     def hashes(self) -> np.ndarray:
-        return self.span_hash(self.start, self.end)
-
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _powers(-1, len(self.sums))[start])
-
-
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True) -> Words:
+        """64 bits of each word: its length, then its bytes in blocks of eight, each mixed in turn."""
+        size = self.end - self.start
+        padded = np.zeros(len(self.kept) + 8, np.uint8)
+        padded[: len(self.kept)] = self.kept
+        blocks = np.ndarray(len(self.kept) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        h = mix(size.astype(np.uint64) * _STEP)
+        which = np.flatnonzero(size <= LONG)
+        at = 0
+        while len(which):
+            left = size[which] - at
+            h[which] = mix(h[which] * _STEP ^ blocks[self.start[which] + at] & _FIRST[np.minimum(left, 8)])
+            which, at = which[left > 8], at + 8
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(padded[self.start[i] : self.end[i]].data)
+        return h
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     """Find the words of the documents that ``offsets`` cut from ``data``."""
     n = len(data)
     kept = table[data]
@@ -147,11 +149,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool
     begins[cut] = inside[cut]
     ends[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = None
-    if hashed:
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODE[kept] * _powers(1, n)[:n], out=sums[1:])
-    return Words(kept, start, end, np.searchsorted(start, offsets), sums)
+    return Words(kept, start, end, np.searchsorted(start, offsets))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

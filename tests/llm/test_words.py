@@ -47,3 +47,12 @@ def test_chunks_take_nulls_slices_and_long_rows():
 def test_windows():
     h = np.arange(5, dtype=np.uint64)
     assert len(W.windows(h, 3)) == 3 and len(set(W.windows(h, 3).tolist())) == 3 and len(W.windows(h, 6)) == 0
+
+
+def test_a_word_and_its_complement_have_different_hashes():
+    for size in (64, 128, 1024, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        text = f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}"
+        data = np.frombuffer(text.encode(), np.uint8)
+        h = W.words(data, np.array([0, len(data)]), W.spaces_table(False)).hashes().tolist()
+        assert h[0] == h[2] != h[1]
