@@ -182,6 +182,8 @@ def near_fingerprints(nodes: DataFrame, fp: str, distance: int = DISTANCE, crowd
         table = spark.createDataFrame([(_signed(m), [_signed(p) for p in parts(m, distance)]) for m in masks], "mask long, next array<long>")
         dealt = now.join(F.broadcast(table), "mask").select(F.explode("next").alias("mask"), "fp")
         dealt = dealt.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "value", "fp")
+        if len(masks) > 1:  # two ways may lead to one mask
+            dealt = dealt.distinct()
         groups = materialize(dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-groups")
         dealt = dealt.join(groups, ["mask", "value"])
         found.append(materialize(_verified(dealt.filter(F.col("n") <= crowd).select("mask", "value", "fp"), distance), "simhash-links"))
