@@ -1,8 +1,8 @@
 """Approximate search: spherical k-means clusters, probing, and exact ranking of the probed rows.
 
 The index is two tables: centroids (cluster, cvec), at most ``MAX_LISTS`` rows, and assigned (row_id, vec,
-cluster), as large as the input. Assignment and updates are single passes with small partial sums; only
-seeding runs on the driver, over a bounded sample (all rows where there are fewer).
+cluster), as large as the input. Seeding, assignment and updates are passes over all rows with small partial
+results. Queries are read by tasks, block by block, as for an exact search. ``tree`` has lists that grow with the rows.
 """
 
 from __future__ import annotations
@@ -10,27 +10,28 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidTopK
 from ..functions.vectors import dot
-from .knn import RESULT, RunningTop, few, knn_arrow, normalise_rows, query_blocks, rank_top, stack, unit
+from .. import shared
+from .grid import FAN, PACKED, _packed, best_of, merged, query_blocks, row_blocks, write_queries
+from .knn import few, knn_arrow, rank_top, unit
+from .seeding import mean_vector, seed_centroids
+from .topk import RunningTop, normalise_rows, stack
 
 # Fixed values of the method.
 MIN_ROWS, MIN_LISTS, MAX_LISTS = 256, 16, 512
 ROUNDS = 12
 FLOOR_ROWS_PER_K = 40
-LCG_START, LCG_STEP, WORD = 2654435761, 6364136223846793005, 1 << 64
 UNSCALED_NORM_SQ = 1e-30
 
-#: Rows that seeding looks at.
-SEED_ROWS = 50_000
 #: Rows asked to measure how many probes a recall takes, and what the measured recall must exceed the wanted one by.
 RECALL_ROWS, RECALL_MARGIN = 64, 0.03
 
@@ -66,37 +67,11 @@ def probe_count_column(lists: F.Column, k: F.Column, rows: F.Column) -> F.Column
 
 def medoid(matrix: DataFrame, dims: int) -> DataFrame:
     """The row (row_id, similarity) with the largest inner product with the mean; the lowest id on ties."""
-    mean = matrix.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    center = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))  # dims values
-    scored = matrix.crossJoin(F.broadcast(center)).select("row_id", dot(F.col("vec"), F.col("center")).alias("similarity"))
+    mean = F.array(*[F.lit(float(x)) for x in mean_vector(matrix, dims)])
+    scored = matrix.select("row_id", dot(F.col("vec"), mean).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), "row_id").limit(1)
 
 
-def seed_centroids(vectors: np.ndarray, lists: int, rows: int, padded: int) -> np.ndarray:
-    """k-means++ with a fixed generator, from the medoid on; ``vectors`` in row order."""
-    chosen = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
-    away = np.full(len(vectors), np.inf)
-    state = (rows * LCG_START + padded) % WORD
-    for _ in range(lists - 1):
-        away = np.minimum(away, np.maximum(1 - vectors @ vectors[chosen[-1]], 0))
-        total = float(away.sum())
-        if total <= 0:
-            chosen.append(chosen[-1])
-            continue
-        state = (state * LCG_STEP + 1) % WORD
-        at = int(np.searchsorted(np.cumsum(away), state / (WORD - 1) * total, "left"))
-        chosen.append(min(at, len(vectors) - 1))
-    return vectors[chosen].copy()
-
-
-def _sample(matrix: DataFrame, rows: int) -> np.ndarray:
-    """Unit vectors in row order: all, or those with the smallest hashes of their ids."""
-    part = matrix.select("row_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    if rows > SEED_ROWS:
-        part = part.orderBy(F.xxhash64("row_id")).limit(SEED_ROWS)
-    return stack(part.toArrow().sort_by("row_id").column("vec").combine_chunks())
-
-
 def assign(matrix: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Add ``cluster``: the nearest centroid, the lowest number on ties."""
     shared = matrix.sparkSession.sparkContext.broadcast(centroids)  # MAX_LISTS rows
@@ -122,7 +97,9 @@ def update(matrix: DataFrame, centroids: np.ndarray) -> np.ndarray:
             if batch.num_rows:
                 m = stack(batch.column(0))
                 best = np.argmax(m @ c.T, axis=1)
-                np.add.at(sums, best, m)
+                order = np.argsort(best, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(best[order]) > 0))
+                sums[best[order[first]]] += np.add.reduceat(m[order], first)
                 counts += np.bincount(best, minlength=lists)
         some = np.flatnonzero(counts)
         if len(some):
@@ -190,8 +167,8 @@ class IvfIndex:
     def train(cls, matrix: DataFrame, rows: int, dims: int) -> IvfIndex:
         """``matrix``: row_id and unit vec. Assignments are those of the round before the last update."""
         lists = list_count(rows)
-        matrix = written(matrix)  # unit vectors are made once
-        now = seed_centroids(_sample(matrix, rows), lists, rows, -(-dims // 8) * 8)
+        matrix = shared.written(matrix, "unit-rows")  # unit vectors are made once
+        now = seed_centroids(matrix, rows, dims, lists)
         before = now
         for _ in range(ROUNDS if lists > 1 else 0):
             before, now = now, update(matrix, now)
@@ -217,23 +194,35 @@ class IvfIndex:
         enough = np.flatnonzero(share >= min(1.0, recall + RECALL_MARGIN))
         return int(enough[0]) + 1 if len(enough) else len(self.centroids)
 
-    def search(self, queries: DataFrame, k: int, normalized: bool = False, probes: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, normalized: bool = False, probes: int | None = None, asked: int | None = None) -> DataFrame:
         """May return fewer than k rows for a query if its lists are short; never made-up ones."""
         if k < 1:
             raise InvalidTopK(k)
         probes = probes or probe_count(len(self.centroids), k, self.rows)
+        path = write_queries(queries, queries.count() if asked is None else asked, self.centroids.shape[1], k, normalized)
         context = self.assigned.sparkSession.sparkContext
-        parts = []
-        for qids, q in query_blocks(queries, self.centroids.shape[1], normalized):
-            scores = q @ self.centroids.T
-            picked = np.lexsort((np.broadcast_to(np.arange(scores.shape[1]), scores.shape), -scores), axis=1)[:, :probes]
-            needed = sorted({int(c) for c in np.unique(picked)})
-            shared = context.broadcast((qids, q, picked))
-            some = self.assigned.filter(F.col("cluster").isin(needed)) if len(needed) < len(self.centroids) else self.assigned
-            parts.append(some.select(F.col("row_id").cast("long").alias("row_id"), "vec", "cluster").mapInArrow(_probed_scorer(shared, k), RESULT))
-        if not parts:
-            return rank_top(self.assigned.sparkSession.createDataFrame([], RESULT), k)
-        return rank_top(reduce(DataFrame.unionByName, parts), k)
+        shared_centroids = context.broadcast(self.centroids)  # MAX_LISTS rows
+        rows = self.assigned.select(F.col("row_id").cast("long").alias("row_id"), "vec", "cluster")
+        if probes < len(self.centroids):
+            needed = self._needed(path, shared_centroids, probes)
+            if len(needed) < len(self.centroids):
+                rows = rows.filter(F.col("cluster").isin(needed))
+        return merged(rows.mapInArrow(_probed_scorer(path, shared_centroids, probes, k), PACKED), k)
+
+    def _needed(self, path: str, shared_centroids, probes: int) -> list[int]:
+        """Lists that any query probes: MAX_LISTS at most."""
+        spark = self.assigned.sparkSession
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(len(shared_centroids.value), bool)
+            for batch in batches:
+                for qids, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    q = np.frombuffer(vectors).reshape(len(qids) // 8, -1)
+                    seen[np.unique(_nearest(q, shared_centroids.value, probes))] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["cluster"])
+
+        blocks = spark.read.schema("block long, qids binary, vectors binary").parquet(path).select("qids", "vectors")
+        return sorted(r.cluster for r in blocks.mapInArrow(run, "cluster int").distinct().collect())
 
     def save(self, path: str) -> None:
         """Assigned rows partitioned by cluster, so that a search reads the probed ones only."""
@@ -248,29 +237,50 @@ class IvfIndex:
         return cls(stack(table.column("cvec").combine_chunks()), assigned, assigned.count())
 
 
-def _probed_scorer(shared, k: int):
+def _nearest(q: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centroids of each query, the lowest numbers on ties."""
+    scores = q @ centroids.T
+    return np.lexsort((np.broadcast_to(np.arange(scores.shape[1]), scores.shape), -scores), axis=1)[:, :n]
+
+
+def _probed_scorer(path: str, shared_centroids, probes: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q, picked = shared.value
-        asked: dict[int, np.ndarray] = {int(c): np.flatnonzero((picked == c).any(axis=1)) for c in np.unique(picked)}
-        tops: dict[int, RunningTop] = {}
-        for batch in batches:
-            cluster = batch.column(2).to_numpy()
-            ids, m = batch.column(0).to_numpy(), stack(batch.column(1))
-            for c in np.unique(cluster):
-                rows = np.flatnonzero(cluster == c)
-                who = asked.get(int(c))
-                if who is not None:
-                    top = tops.setdefault(int(c), RunningTop(len(who), k))
-                    top.add(q[who] @ m[rows].T, ids[rows])
-        for c, top in tops.items():
-            yield top.table(qids[asked[c]])
+        centroids, part = shared_centroids.value, TaskContext.get().partitionId() % FAN
+        for ids, m, cluster in _clustered(batches):
+            order = np.argsort(cluster, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(cluster[order]) > 0))
+            for block, qids, q in query_blocks(path):
+                picked = np.zeros((len(q), len(centroids)), bool)
+                np.put_along_axis(picked, _nearest(q, centroids, probes), True, axis=1)
+                top = RunningTop(len(q), k)
+                for rows in np.split(order, first[1:]):
+                    who = np.flatnonzero(picked[:, cluster[rows[0]]])
+                    if len(who):
+                        scores = np.full((len(q), min(k, len(rows))), -np.inf)
+                        found = best_of(q[who], ids[rows], m[rows], k)
+                        scores[who] = found.scores
+                        best = np.zeros(scores.shape, np.int64)
+                        best[who] = found.ids
+                        top.merge(scores, best)
+                if np.isfinite(top.scores).any():
+                    yield _packed(block, part, qids, top)
 
     return run
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from the shared folder, if one is set; else kept by Spark, which makes lost parts again."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, clusters) of row blocks."""
+    clusters: list[np.ndarray] = []
+
+    def noted() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                clusters.append(batch.column(2).to_numpy())
+            yield batch
+
+    for ids, m in row_blocks(noted(), normalized=True):
+        yield ids, m, np.concatenate(clusters)
+        clusters.clear()
 
 
 def prepare(matrix: DataFrame, normalized: bool) -> DataFrame:

@@ -1,28 +1,21 @@
 """Exact cosine top-k: every query against every row, ranked by similarity, then row id.
 
-Two physical forms give the same rows. ``knn_sql`` is pure column expressions. ``knn_arrow`` broadcasts
-the queries in blocks of bounded size and multiplies Arrow batches with NumPy; each task keeps one running
-top k for each query, so a task sends at most k rows a query to the final ranking, whatever it reads.
+Two physical forms give the same rows. ``knn_sql`` is pure column expressions, for few queries. ``knn_arrow`` multiplies
+blocks of queries with blocks of rows and merges what tasks find (see ``grid``), for any number of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidTopK
 from ..functions.vectors import dot, l2_normalize
+from .grid import grid_top, write_queries
 
-#: Bytes of queries that one broadcast holds.
-QUERY_BLOCK_BYTES = 64 << 20
 #: Rows of a table that is broadcast.
 FEW_ROWS = 20_000
-RESULT = "qid long, row_id long, similarity double"
 
 
 def unit(df: DataFrame, vec_col: str, normalized: bool) -> DataFrame:
@@ -65,84 +58,9 @@ def single_top(matrix: DataFrame, query: list[float], k: int, normalized: bool =
     return scored.orderBy(F.desc("similarity"), F.asc("row_id")).limit(k)
 
 
-def stack(column: pa.Array, dtype: type = np.float64) -> np.ndarray:
-    """A list column of equal lengths as a matrix."""
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1 if n else 0).astype(dtype, copy=False)
-
-
-def normalise_rows(m: np.ndarray) -> np.ndarray:
-    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
-
-
-def query_blocks(queries: DataFrame, dims: int, normalized: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of the queries, block by block; a block is at most QUERY_BLOCK_BYTES, about."""
-    rows = max(1, QUERY_BLOCK_BYTES // (8 * max(1, dims)))
-    queries = queries.select(F.col("qid").cast("long").alias("qid"), F.transform("qvec", lambda x: x.cast("double")).alias("qvec"))
-    blocks = -(-queries.count() // rows)
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        table = part.toArrow().sort_by("qid")
-        if table.num_rows:
-            vectors = stack(table.column("qvec").combine_chunks())
-            yield table.column("qid").to_numpy(), vectors if normalized else normalise_rows(vectors)
-
-
-class RunningTop:
-    """The best k rows of each query so far, ordered by similarity, then row id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, 0), -np.inf)
-        self.ids = np.zeros((queries, 0), np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores``: queries by rows; ``ids``: of the rows."""
-        self.merge(scores, np.broadcast_to(ids, scores.shape))
-
-    def merge(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        if scores.shape[1] > self.k:  # each query's scores from the k-th on, ties at it included
-            cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-            width = int((scores >= cut[:, None]).sum(axis=1).max(initial=0))
-            if width < scores.shape[1]:
-                keep = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-                scores, ids = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
-        all_scores, all_ids = np.hstack([self.scores, scores]), np.hstack([self.ids, ids])
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
-
-    def table(self, qids: np.ndarray) -> pa.RecordBatch:
-        live = np.isfinite(self.scores)
-        qid = np.repeat(qids, live.sum(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(self.ids[live]), pa.array(self.scores[live])], names=["qid", "row_id", "similarity"])
-
-
-def block_scorer(shared, k: int, normalized: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over batches (row_id, vec) that yields each task's top k of a broadcast block of queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        top = RunningTop(len(qids), k)
-        for batch in batches:
-            step = max(1, (8 << 20) // max(1, len(qids)))  # scores of one multiplication: 64 MB at most
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                m = stack(part.column(1))
-                m = m if normalized else normalise_rows(m)
-                top.add(q @ m.T, part.column(0).to_numpy())
-        if top.ids.shape[1]:
-            yield top.table(qids)
-
-    return run
-
-
-def knn_arrow(matrix: DataFrame, queries: DataFrame, k: int, dims: int, normalized: bool = False) -> DataFrame:
+def knn_arrow(matrix: DataFrame, queries: DataFrame, k: int, dims: int, normalized: bool = False, asked: int | None = None) -> DataFrame:
+    """``matrix`` (row_id, vec) and any number of ``queries`` (qid, qvec), ``asked`` of them if that is known."""
     if k < 1:
         raise InvalidTopK(k)
-    rows = matrix.select(F.col("row_id").cast("long").alias("row_id"), "vec")
-    context = matrix.sparkSession.sparkContext
-    parts = [rows.mapInArrow(block_scorer(context.broadcast(block), k, normalized), RESULT) for block in query_blocks(queries, dims, normalized)]
-    if not parts:
-        return rank_top(matrix.sparkSession.createDataFrame([], RESULT), k)
-    return rank_top(reduce(DataFrame.unionByName, parts), k)
+    path = write_queries(queries, queries.count() if asked is None else asked, dims, k, normalized)
+    return grid_top(matrix, path, k, normalized)

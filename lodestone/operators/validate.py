@@ -41,8 +41,22 @@ def profile_columns(v: Column) -> list[Column]:
     ]
 
 
-def profile(df: DataFrame, vec_col: str) -> VectorProfile:
-    return VectorProfile(**df.agg(*profile_columns(F.col(vec_col))).first().asDict())
+@dataclass(frozen=True)
+class IdProfile:
+    known: int
+    distinct: int | None
+
+
+def profile(df: DataFrame, vec_col: str, id_col: str | None = None, distinct: bool = False) -> VectorProfile | tuple[VectorProfile, IdProfile]:
+    """One aggregate; with ``id_col`` also how many ids are known, and how many of them are distinct if asked for."""
+    ids = [F.count(id_col).alias("known")] if id_col else []
+    if distinct:
+        ids.append(F.count_distinct(F.col(id_col)).alias("distinct"))
+    found = df.agg(*profile_columns(F.col(vec_col)), *ids).first().asDict()
+    if not id_col:
+        return VectorProfile(**found)
+    known, different = found.pop("known"), found.pop("distinct", None)
+    return VectorProfile(**found), IdProfile(known, different)
 
 
 def check_type(df: DataFrame, vec_col: str) -> None:

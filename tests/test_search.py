@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import errors, queries
-from lodestone.operators import chunking, evaluate, ivf, knn, results
+from lodestone import errors, queries, shared
+from lodestone.operators import chunking, evaluate, grid, ivf, knn, results, seeding, topk
 from lodestone.options import IndexOptions
 from lodestone.plans.index import VectorIndex
 from lodestone.sources import tables
@@ -66,9 +66,24 @@ def test_exact_matches_numpy(spark, name):
 def test_query_blocks_change_nothing(spark, monkeypatch):
     r = np.random.default_rng(3)
     m, q = r.normal(size=(200, 8)).astype(np.float32), r.normal(size=(23, 8)).astype(np.float32)
-    monkeypatch.setattr(knn, "QUERY_BLOCK_BYTES", 8 * 8 * 5)
-    ids, _ = results.to_numpy(knn.knn_arrow(tables.from_local(spark, m), asked(spark, q), 4, 8))
+    for name, value in (("QUERY_BYTES", 8 * 8 * 5), ("ROW_BYTES", 8 * 8 * 7), ("SCORES", 11), ("FAN", 3)):
+        monkeypatch.setattr(grid, name, value)
+    ids, _ = results.to_numpy(knn.knn_arrow(tables.from_local(spark, m).repartition(5), asked(spark, q), 4, 8))
     assert np.array_equal(ids, naive(m, q, 4)[0])
+    some = list(grid.query_blocks(grid.write_queries(asked(spark, q), 23, 8, 4, False)))
+    assert len(some) >= 5 and max(len(b[1]) for b in some) == 5 and sorted(np.concatenate([b[1] for b in some]).tolist()) == list(range(23))
+
+
+def test_queries_are_neither_fetched_nor_counted_twice(spark):
+    """A search of known size takes one job before its result is asked for, however many blocks there are."""
+    m = np.random.default_rng(1).normal(size=(50, 8)).astype(np.float32)
+    rows, q = tables.from_local(spark, m), asked(spark, m)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("grid-jobs", "")
+    knn.knn_arrow(rows, q, 3, 8, asked=50)
+    jobs = len(tracker.getJobIdsForGroup("grid-jobs"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 2  # the write, and what Spark does for its shuffle
 
 
 def test_no_queries(spark):
@@ -79,7 +94,7 @@ def test_no_queries(spark):
 
 
 def test_running_top_keeps_ties_by_id():
-    top = knn.RunningTop(1, 2)
+    top = topk.RunningTop(1, 2)
     top.add(np.array([[0.5, 0.5]]), np.array([9, 4]))
     top.add(np.array([[0.5, 0.1]]), np.array([1, 2]))
     assert top.ids.tolist() == [[1, 4]]
@@ -118,9 +133,9 @@ def test_training_follows_a_direct_version(spark):
     r = np.random.default_rng(5)
     m = r.normal(size=(300, 8))
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "row_id long, vec array<double>").repartition(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "row_id long, vec array<double>").coalesce(1)
     index = ivf.IvfIndex.train(rows, 300, 8)
-    c = ivf.seed_centroids(m, 17, 300, 8)
+    c = direct_seeds(m, 17, 8)
     for _ in range(ivf.ROUNDS):
         best = np.argmax(m @ c.T, axis=1)
         c = np.array([m[best == i].mean(axis=0) if (best == i).any() else np.zeros(8) for i in range(17)])
@@ -131,8 +146,44 @@ def test_training_follows_a_direct_version(spark):
     assert [got[i] for i in range(300)] == best.tolist()
 
 
-def test_seeding_repeats_when_all_rows_are_equal():
-    assert ivf.seed_centroids(np.ones((4, 2)) / 2**0.5, 3, 4, 8).shape == (3, 2)
+def test_seeding_repeats_when_all_rows_are_equal(spark):
+    same = shared.written(tables.from_local(spark, np.ones((4, 2)) / 2**0.5), "seeds")
+    assert np.allclose(seeding.seed_centroids(same, 4, 2, 3), np.ones((3, 2)) / 2**0.5)
+
+
+def direct_seeds(m, lists, padded):
+    """k-means++ over all rows of one array."""
+    draw = seeding.Generator(len(m), padded)
+    return seeding.weighted_seeds(m, np.ones(len(m)), int(np.argmax(m @ m.mean(axis=0))), lists, draw)
+
+
+def direct_rounds(m, lists, padded, picks):
+    """The oversampling and its reduction on one array."""
+    starts, first = seeding.Generator(len(m) + 1, padded), int(np.argmax(m @ m.mean(axis=0)))
+    chosen = np.array([first])
+    for _ in range(seeding.SAMPLING_ROUNDS):
+        away = np.maximum(1 - (m @ m[chosen].T).max(axis=1), 0)
+        line, start = np.cumsum(away), starts()
+        chosen = np.union1d(chosen, np.searchsorted(line, (start + np.arange(picks)) * line[-1] / picks, "left"))
+    weights = np.bincount(np.argmax(m @ m[chosen].T, axis=1), minlength=len(chosen))
+    return seeding.weighted_seeds(m[chosen], weights, int(np.searchsorted(chosen, first)), lists, seeding.Generator(len(m), padded))
+
+
+def test_seeds_of_partitions_equal_those_of_one_array(spark, monkeypatch):
+    m = topk.normalise_rows(np.random.default_rng(2).normal(size=(900, 6)))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "row_id long, vec array<double>")
+    spread = rows.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").cache()
+    assert np.allclose(seeding.seed_centroids(spread, 900, 6, 12), direct_seeds(m, 12, 8))
+    monkeypatch.setattr(seeding, "PICKS", 1)
+    assert np.allclose(seeding.seed_centroids(spread, 900, 6, 12), direct_rounds(m, 12, 8, 48))
+
+
+def test_weighted_picks_follow_the_distances():
+    away = np.array([0, 0, 5.0, 0, 1, 4, 0])
+    assert seeding.spaced_picks(away, 0, 10, 10, 0.5).tolist() == [2, 4, 5]
+    assert seeding.spaced_picks(away, 0, 10, 2, 0.5).tolist() == [2, 5]
+    a, b = seeding.spaced_picks(away[:3], 0, 10, 2, 0.5), seeding.spaced_picks(away[3:], 5, 10, 2, 0.5) + 3
+    assert a.tolist() + b.tolist() == [2, 5]
 
 
 def test_wanted_recall_is_reached(spark):
@@ -145,7 +196,7 @@ def test_wanted_recall_is_reached(spark):
 
 
 def test_top_with_many_ties():
-    top = knn.RunningTop(2, 3)
+    top = topk.RunningTop(2, 3)
     top.add(np.array([[1.0, 1, 1, 1, 0], [0, 2, 1, 3, 1]]), np.array([9, 4, 7, 1, 2]))
     top.add(np.array([[1.0, 0.5], [1, 1]]), np.array([0, 3]))
     assert top.ids.tolist() == [[0, 1, 4], [1, 4, 0]]
