@@ -176,6 +176,9 @@ class IvfIndex:
                 break
         return cls(now, assign(matrix, before), rows)
 
+    def list_count(self) -> int:
+        return len(self.centroids)
+
     def centroid_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)], "cluster int, cvec array<double>")
 

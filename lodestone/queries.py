@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import vectors as V
 from .options import IndexOptions
-from .operators import chunking, evaluate, ivf, knn, results, validate
+from .operators import chunking, evaluate, ivf, knn, results, topk, validate, zones
 from .plans.index import VectorIndex
 from .sources import code_files, tables
 
@@ -135,13 +135,12 @@ def _label_centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """(unit rows, centroids, assigned): clusters around the mean of each label."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     unit = df.select(F.col("vec_id").alias("row_id"), V.l2_normalize(F.col("embedding")).alias("vec"), "label")
-    mean = unit.select("label", F.posexplode("vec").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
-    centroids = mean.groupBy("label").agg(ordered.alias("c")).select(F.col("label").alias("cluster"), V.l2_normalize(F.col("c")).alias("cvec"))
-    table = centroids.orderBy("cluster").limit(ivf.MAX_LISTS).toArrow()
-    numbers = F.array(*[F.lit(int(n)) for n in table.column("cluster").to_numpy()])
-    placed = ivf.assign(unit.select("row_id", "vec"), np.array(table.column("cvec").to_pylist()))  # in the scan, by the centroids alone
-    assigned = placed.select("row_id", "vec", F.element_at(numbers, F.col("cluster") + 1).alias("cluster"))
+    means = zones.zone_means(unit.select("vec", F.col("label").alias("list"))).orderBy("list").limit(ivf.MAX_LISTS).toArrow()
+    labels = means.column("list").to_pylist()
+    vectors = topk.normalise_rows(topk.stack(means.column("pivot").combine_chunks()))
+    centroids = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(labels, vectors, strict=True)], "cluster int, cvec array<double>")  # MAX_LISTS rows
+    placed = ivf.assign(unit.select("row_id", "vec"), vectors)  # in the scan, by the centroids alone
+    assigned = placed.select("row_id", "vec", F.element_at(F.array(*[F.lit(n) for n in labels]), F.col("cluster") + 1).alias("cluster"))
     return unit.select("row_id", "vec"), centroids, assigned
 
 
@@ -200,17 +199,21 @@ def ivf_search_label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ivf.rerank(assigned, probes, asked, K))
 
 
+def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Exact and probed results, written once."""
+    unit, assigned, asked, probes = _probes(spark, sf_dir)
+    exact, approx = knn.knn_arrow(unit, asked, K, 64, normalized=True), ivf.rerank(assigned, probes, asked, K)
+    return shared.written(exact, "exact"), shared.written(approx, "probed")
+
+
 def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of the probed search against the exact one, for each query."""
-    unit, assigned, asked, probes = _probes(spark, sf_dir)
-    exact, approx = knn.knn_sql(unit, asked, K, normalized=True), ivf.rerank(assigned, probes, asked, K)
-    q = evaluate.per_query(exact, approx)
+    q = evaluate.per_query(*_searches(spark, sf_dir))
     return q.select("qid", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in q.columns if c != "qid"])
 
 
 def recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit, assigned, asked, probes = _probes(spark, sf_dir)
-    s = evaluate.summary(knn.knn_sql(unit, asked, K, normalized=True), ivf.rerank(assigned, probes, asked, K))
+    s = evaluate.summary(*_searches(spark, sf_dir))
     return s.select("queries", *[F.round(F.col(c), 6).alias(c) for c in ("min_overlap", "mean_overlap", "mean_top1_match", "mean_ndcg")])
 
 
@@ -230,6 +233,47 @@ def ivf_recall_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("qid", F.round(F.col("overlap").cast("double"), 6).alias("recall"), F.lit(lists).alias("lists"), F.lit(index.probes(K) or 1).alias("probes"))
 
 
+def tree_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of an index of two levels, with the probes that a recall of RECALL takes."""
+    rows = _rows(spark, sf_dir)
+    return _rounded(_index(spark, sf_dir, approx=True, recall=RECALL, levels=2).search(_asked(rows), K))
+
+
+def tree_recall_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of that search against the exact one, for each query, with what it probes of each level."""
+    rows = _rows(spark, sf_dir)
+    index = _index(spark, sf_dir, approx=True, recall=RECALL, levels=2)
+    approx, exact = index.search(_asked(rows), K), _index(spark, sf_dir).search(_asked(rows), K)
+    q = evaluate.per_query(exact, approx)
+    wide, deep = index.probes(K)
+    return q.select("qid", F.round(F.col("overlap").cast("double"), 6).alias("recall"), F.lit(index._ivf.list_count()).alias("lists"), F.lit(wide).alias("upper_probes"), F.lit(deep).alias("probes"))
+
+
+def _zoned(spark: SparkSession, sf_dir: str) -> tuple[zones.ZoneIndex, DataFrame]:
+    """Rows in zones by label, and the queries."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    unit = df.select(F.col("vec_id").alias("row_id"), V.l2_normalize(F.col("embedding")).alias("vec"), F.col("label").alias("list"))
+    return zones.ZoneIndex.build(unit, 64), _asked(_rows(spark, sf_dir))
+
+
+def zone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search, reading those zones only that can hold a result."""
+    index, asked = _zoned(spark, sf_dir)
+    return _rounded(index.search(asked, K))
+
+
+def zone_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones and rows that this search reads for each query."""
+    index, asked = _zoned(spark, sf_dir)
+    return index.reads(asked, K)
+
+
+def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, radius and length of the pivot of each zone."""
+    index, _ = _zoned(spark, sf_dir)
+    return index.map.select(F.col("list").cast("int").alias("label"), "n", F.round("radius", 6).alias("radius"), F.round(V.l2_norm(F.col("pivot")), 6).alias("pivot_length"))
+
+
 def _documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(F.concat(F.lit("/docs/"), "doc_id", F.lit(".txt")).alias("file_path"), F.col("text").alias("content"))
@@ -331,6 +375,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_nested, medoid_row, kmeans_assign_once, kmeans_update_once, cluster_histogram_offsets, ivf_parameters, ivf_probe,
         ivf_candidates, ivf_search_label_centroids, recall_metrics, recall_summary, ivf_search_trained, chunk_small_documents,
         chunk_sliding_documents, definition_boundaries, search_result_lines, file_predicates, index_info,
+        tree_search_trained, tree_recall_trained, zone_search, zone_reads, zone_map,
         search_result_chunks, cluster_order, ivf_recall_trained, rust_definitions, typed_definitions, python_definitions,
     ]
     return {f.__name__: f for f in found}
@@ -383,6 +428,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "exact_top10_batch": top10,
         "exact_top10_sql": top10,
+        "zone_search": top10,
+        "zone_map": f"""WITH {_UNIT}, parts AS (SELECT row_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e)
+            , m AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY ALL)
+            , far AS (SELECT row_id, label, sqrt(sum((x - m) * (x - m))) AS d FROM parts JOIN m USING (label, pos) GROUP BY ALL)
+            , len AS (SELECT label, sqrt(sum(m * m)) AS l FROM m GROUP BY label)
+            SELECT label, count(*) AS n, round(max(d), 6) AS radius, round(any_value(l), 6) AS pivot_length FROM far JOIN len USING (label) GROUP BY label""",
         "exact_top10_single": f"""WITH {_UNIT}, m AS (SELECT list(m ORDER BY pos) AS c FROM (SELECT pos, avg(x::DOUBLE) AS m FROM
             (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos))
             SELECT row_id, round(list_dot_product(v, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c)))), 6) AS similarity FROM e, m

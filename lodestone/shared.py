@@ -45,8 +45,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def table(path: str) -> ds.Dataset:
+    """A written table; for tasks."""
+    where, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    return ds.dataset(inner, filesystem=where, format="parquet")
+
+
 def batches(path: str, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of a written table, file by file; for tasks, which so hold one part of it at a time."""
-    where, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri(path.replace("file:", "file://", 1))
-    for fragment in sorted(ds.dataset(inner, filesystem=where, format="parquet").get_fragments(), key=lambda f: f.path):
-        yield from fragment.to_batches(columns=columns, batch_size=1)
+    """Its rows, file by file, so that a task holds one part of it at a time."""
+    for fragment in sorted(table(path).get_fragments(), key=lambda f: f.path):
+        yield from fragment.to_batches(columns=columns, batch_size=1024 if columns else 1)
