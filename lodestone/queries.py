@@ -274,6 +274,12 @@ def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.map.select(F.col("list").cast("int").alias("label"), "n", F.round("radius", 6).alias("radius"), F.round(V.l2_norm(F.col("pivot")), 6).alias("pivot_length"))
 
 
+def parquet_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the rows in their files, taken as one, with the first element of each vector."""
+    rows = tables.from_file(spark, f"{sf_dir}/embeddings.parquet", "embedding")
+    return rows.select("row_id", F.col("vec")[0].alias("x"))
+
+
 def _documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(F.concat(F.lit("/docs/"), "doc_id", F.lit(".txt")).alias("file_path"), F.col("text").alias("content"))
@@ -375,7 +381,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_nested, medoid_row, kmeans_assign_once, kmeans_update_once, cluster_histogram_offsets, ivf_parameters, ivf_probe,
         ivf_candidates, ivf_search_label_centroids, recall_metrics, recall_summary, ivf_search_trained, chunk_small_documents,
         chunk_sliding_documents, definition_boundaries, search_result_lines, file_predicates, index_info,
-        tree_search_trained, tree_recall_trained, zone_search, zone_reads, zone_map,
+        tree_search_trained, tree_recall_trained, zone_search, zone_reads, zone_map, parquet_row_numbers,
         search_result_chunks, cluster_order, ivf_recall_trained, rust_definitions, typed_definitions, python_definitions,
     ]
     return {f.__name__: f for f in found}
@@ -429,6 +435,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_top10_batch": top10,
         "exact_top10_sql": top10,
         "zone_search": top10,
+        "parquet_row_numbers": "SELECT row_number() OVER () - 1 AS row_id, embedding[1] AS x FROM embeddings",
         "zone_map": f"""WITH {_UNIT}, parts AS (SELECT row_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e)
             , m AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY ALL)
             , far AS (SELECT row_id, label, sqrt(sum((x - m) * (x - m))) AS d FROM parts JOIN m USING (label, pos) GROUP BY ALL)
@@ -496,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
             trim(replace(substr(array_to_string(l[a + 1:b], chr(10)), 1, 100), chr(10), ' ')) AS preview FROM w""",
         "definition_boundaries": r"""WITH c AS (SELECT page_id::VARCHAR AS file_path, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '(?i)\n(the|de) ', chr(10) || 'function ', 'g'), chr(10)) AS l FROM pages)
             , u AS (SELECT file_path, unnest(l) AS t, generate_subscripts(l, 1)::INT AS line FROM c)
-            SELECT file_path, line FROM u WHERE regexp_matches(t, '^(export\s+)?(default\s+)?(async\s+)?(function\*?|class)\s')""",
+            SELECT file_path, line FROM u WHERE regexp_matches(t, '^((export|default|async)\s+)*(class|function)[\s*]')""",
         "search_result_lines": f"""WITH {_UNIT}{_EXACT}, {_SMALL} SELECT qid, rank, file_path AS file, '1-' || end_line AS lines, round(s, 6) AS similarity, preview
             FROM exact JOIN small ON row_id = doc_id""",
         "file_predicates": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
 from ..errors import InconsistentDims, MissingKey, ShapeMismatch, UnsupportedColumnType, UnsupportedExtension
 from ..functions.vectors import as_floats, vector_from_columns
 from ..operators.validate import check_type
-from .npy import NpyDataSource
+from .npy import NpyDataSource, is_parts, local
+
+#: Files whose table of first places is broadcast.
+FEW_FILES = 20_000
 
 
 def from_dataframe(df: DataFrame, vec_col: str, id_col: str) -> DataFrame:
@@ -63,9 +67,11 @@ def from_local(spark: SparkSession, data: Any) -> DataFrame:
 def from_file(spark: SparkSession, path: str, key: str | None = None, id_col: str | None = None) -> DataFrame:
     """``.npy``, ``.npz`` (``key``: array) or ``.parquet`` (``key``: column of FLOAT lists).
 
-    Parquet rows take ``id_col``, or else their position in a file of their own.
+    Parquet rows take ``id_col``, or else their place in all files, by name; so do those of a folder of ``.npy`` parts.
     """
     suffix = PurePosixPath(path).suffix.lower()
+    if not suffix and is_parts(path):
+        suffix = ".npy"
     if suffix not in (".npy", ".npz", ".parquet"):
         raise UnsupportedExtension(f"cannot load {suffix or 'a file without extension'}; use .npy, .npz or .parquet")
     if suffix != ".npy" and key is None:
@@ -73,13 +79,34 @@ def from_file(spark: SparkSession, path: str, key: str | None = None, id_col: st
     if suffix != ".parquet":
         spark.dataSource.register(NpyDataSource)
         reader = spark.read.format("npy")
-        return (reader.option("key", key) if suffix == ".npz" else reader).load(path)
+        if suffix == ".npz":
+            reader = reader.option("key", key).option("unpacked", local(shared.new_path(spark, "npz")) + ".npy")
+        return reader.load(path)
     df = spark.read.parquet(path)
     check_type(df, key)
     if not isinstance(df.schema[key].dataType.elementType, T.FloatType):
         raise UnsupportedColumnType(f"{key} is {df.schema[key].dataType.simpleString()}, not array<float>")
     if id_col is not None:
         return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(key).alias("vec"))
-    if len(df.inputFiles()) > 1:
-        raise UnsupportedColumnType("several files have no common row order; name an id column")
-    return df.select(F.col("_metadata.row_index").alias("row_id"), F.col(key).alias("vec"))
+    return numbered(df).select("row_id", F.col(key).alias("vec"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Add ``row_id``, the place in all of the files that ``df`` was read from, in order of their names.
+
+    Files are counted, and each one's rows follow those of the files before it: rows are neither sorted nor shuffled.
+    """
+    spark = df.sparkSession
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    counts = sorted((r["__file"], r.n) for r in rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect())  # the files, which the driver lists anyway
+    begins = np.cumsum([0, *[n for _, n in counts]]).tolist()
+    table = spark.createDataFrame([(f, b) for (f, _), b in zip(counts, begins, strict=False)], "__file string, __begins long")
+    table = F.broadcast(table) if len(counts) <= FEW_FILES else table
+    return rows.join(table, "__file").withColumn("row_id", F.col("__begins") + F.col("__place")).drop("__file", "__place", "__begins")
+
+
+def to_npy(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the vectors of ``rows`` (row_id, vec), in order of their ids, as ``.npy`` parts in the folder ``path``."""
+    rows.sparkSession.dataSource.register(NpyDataSource)
+    ordered = rows.repartitionByRange("row_id").sortWithinPartitions("row_id")
+    ordered.select(as_floats(F.col("vec")).alias("vec")).write.format("npy").mode(mode).save(path)
