@@ -7,11 +7,12 @@ and does not pass the end of its piece. So all counts follow from the aggregated
 as often as flows out of it along longer edges, plus what ended with it (``flows``). The flow of the empty n-gram is the
 number of words.
 
-Before edges are made, pieces are also cut where no candidate can go on: between two words that stand side by side fewer
-than ``least`` times, and at words rarer than that. A candidate's occurrences all lie within such cuts, and a position
-whose word is rare gives the empty edge, so counts stay exact while the graph keeps the frequent part of the corpus
-only. Which words and pairs are frequent is counted over the whole corpus by hashes; the frequent ones are set in a bit
-table of at most ``MAX_BITS`` (8 MB). What it lets through too much costs edges and changes no count.
+Before edges are made, the way on is cut where no candidate can follow it: an n-gram does not grow by a word with which
+its last two words, or its last one, stand fewer than ``least`` times in the corpus. A candidate's occurrences pass no
+such cut, and a position whose word is rare gives the empty edge, so counts stay exact while the graph keeps the
+frequent part of the corpus only. Which words, pairs and, of frequent pairs, triples are frequent is counted over the
+whole corpus by hashes; they are set in a bit table of at most ``MAX_BLOCKS`` (8 MB). What it lets through too much
+costs edges and changes no count.
 
 Unary paths are compacted: an n-gram all of whose flow goes on to one longer edge, or comes from one, is part of that
 one. This is all that the rule on contained candidates asks for: a longer candidate as frequent as a contained one
@@ -24,10 +25,12 @@ in decimals of 38 digits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +42,8 @@ from .words import SLOTS, Words, chunks, frugal, keep_table, mix, words
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Hashes that a counting group has about, and that a task holds before it writes them.
 GROUP, HOLD = 2_000_000, 1_000_000
-#: Bits of the table of frequent words and pairs: sixteen for each, within these bounds.
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
+#: Blocks of 64 bits of the table of frequent n-grams: one for two of them, within these bounds (8 MB); bits of each n-gram.
+MIN_BLOCKS, MAX_BLOCKS, PROBES = 1 << 10, 1 << 20, 4
 #: Bytes of texts worked on together, and n-grams a task holds before it writes them.
 CHUNK, HOLD_GRAMS = 1 << 22, 200_000
 NO_LANGUAGE = "und"
@@ -75,18 +78,30 @@ class Chunk:
         """Hash of each word with the next one (of any two words, in one piece or not)."""
         return mix(self.word[:-1] * SLOTS[0] + self.word[1:] * SLOTS[1] + _SIZE[2])
 
-    def edges(self, word_ok: np.ndarray, pair_ok: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and size of the longest n-gram at each position; size 0 for words that are not ``word_ok``."""
+    def follow(self, word_ok: np.ndarray, pair_ok: np.ndarray) -> np.ndarray:
+        """Whether each word goes on to the next one, as a frequent pair."""
+        return self.goes_on & pair_ok & word_ok[1:] & word_ok[:-1]
+
+    def triples(self, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the triples of frequent pairs."""
+        at = np.flatnonzero(follow[:-1] & follow[1:])
+        return at, mix(self.word[at] * SLOTS[0] + self.word[at + 1] * SLOTS[1] + self.word[at + 2] * SLOTS[2] + _SIZE[3])
+
+    def edges(self, passes: Callable[[np.ndarray], np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and size of the longest n-gram at each position; size 0 for rare words. ``passes``: whether hashes are frequent."""
         n = len(self.word)
+        word_ok = passes(self.word)
+        follow = self.follow(word_ok, passes(self.pairs()))
+        at, hashes = self.triples(follow)
+        grows = np.zeros(n, bool)  # a third word may follow these two
+        grows[at[passes(hashes)]] = True
         size = word_ok.astype(np.int64)
-        run = self.goes_on & pair_ok & word_ok[1:] & word_ok[:-1]
         sums = self.word * SLOTS[0]
-        open_ = run.copy()
+        at = np.flatnonzero(follow)
         for k in range(1, longest):
-            at = np.flatnonzero(open_[: n - k])
             size[at] = k + 1
             sums[at] += self.word[at + k] * SLOTS[k]
-            open_ = open_[: n - k - 1] & run[k : n - 1]
+            at = at[grows[at + k - 1]]
         return np.where(size > 0, mix(sums + _SIZE[size]), self.language), size
 
 
@@ -103,8 +118,13 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, list[str],
         yield Chunk(data, offsets, hashes[of]), data, names[of], hashes[of]
 
 
-def _slot(group: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    return mix(key.astype(np.uint64) + group.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)
+def _slot(group: np.ndarray, key: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table's block of a key, and its PROBES bits there."""
+    h = mix(key.astype(np.uint64) + group.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    bits = np.zeros(len(h), np.uint64)
+    for probe in range(PROBES):
+        bits |= np.uint64(1) << (h >> np.uint64(58 - 6 * probe) & np.uint64(63))
+    return h & np.uint64(blocks - 1), bits
 
 
 def _split(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +132,12 @@ def _split(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _frequent_keys(texts: DataFrame, groups: int, least: int) -> DataFrame:
-    """(group, key) of words and pairs whose hashes occur ``least`` times. A hash that a task meets often is one entry of what it writes."""
+def _frequent_keys(texts: DataFrame, groups: int, least: int, table: np.ndarray | None = None) -> DataFrame:
+    """(group, key) of hashes that occur ``least`` times: of words and pairs; with a ``table`` of those, of triples.
+
+    A hash that a task meets often is one entry of what it writes.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(table)  # MAX_BLOCKS longs
     schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def write(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +158,11 @@ def _frequent_keys(texts: DataFrame, groups: int, least: int) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             for chunk, *_ in _read(batch):
-                held += [chunk.word, chunk.pairs()[chunk.goes_on]]
+                if shared.value is None:
+                    held += [chunk.word, chunk.pairs()[chunk.goes_on]]
+                else:
+                    frequent = lambda h: _passes(h, groups, shared.value)
+                    held += [chunk.triples(chunk.follow(frequent(chunk.word), frequent(chunk.pairs())))[1], chunk.word[:0]]
                 n += len(held[-1]) + len(held[-2])
                 if n >= HOLD:
                     yield from write(held)
@@ -159,57 +187,68 @@ def _frequent_keys(texts: DataFrame, groups: int, least: int) -> DataFrame:
 
 
 def _bit_table(keys: DataFrame) -> np.ndarray:
-    """The frequent keys' bits, as bytes of one bit each eight; at most ``MAX_BITS`` / 64 rows come to the driver."""
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, 16 * keys.count()):
-        bits *= 2
+    """Blocks of 64 bits with the bits of all frequent keys; at most ``MAX_BLOCKS`` rows come to the driver."""
+    blocks = MIN_BLOCKS
+    while blocks < min(MAX_BLOCKS, keys.count() // 2):
+        blocks *= 2
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bits", T.LongType())])
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _slot(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
-            one = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(one)], names=["block", "bits"])
+            at, bits = _slot(batch.column(0).to_numpy(), batch.column(1).to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(bits.view(np.int64))], names=["block", "bits"])
 
     rows = keys.mapInArrow(slots, schema).groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
+    table = np.zeros(blocks, np.uint64)
     table[rows.column("block").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return table.view(np.uint8)
+    return table
 
 
 def _passes(hashes: np.ndarray, groups: int, table: np.ndarray) -> np.ndarray:
-    at = _slot(*_split(hashes, groups), 8 * len(table))
-    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    at, bits = _slot(*_split(hashes, groups), len(table))
+    return table[at] & bits == bits
 
 
 def _edges(texts: DataFrame, groups: int, table: np.ndarray, longest: int) -> DataFrame:
-    """(lang, phrase, size, c): edges of each task, counted; phrases are joined by spaces."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)  # MAX_BITS / 8 bytes
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("c", T.LongType())])
-
-    def write(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
-        langs, phrases, sizes = zip(*held, strict=True)
-        text = pa.array(phrases, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text, pa.array(sizes, pa.int32()), pa.array(list(held.values()), pa.int64())], names=[f.name for f in schema])
+    """(lang, phrase, size, c): edges, counted; phrases are joined by spaces.
+
+    A task writes what it has counted as one row for each group of phrases and language, so a frequent phrase is
+    one entry of it, and a group has about the edges of ``GROUP`` positions at most.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(table)  # MAX_BLOCKS longs
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("phrases", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+    def write(held: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
+        parts: dict[tuple[int, str], list[bytes]] = {}
+        for lang, phrase in held:
+            parts.setdefault((zlib.crc32(phrase) * groups >> 32, lang), []).append(phrase)
+        rows: list[list] = [[], [], [], []]
+        for (group, lang), phrases in parts.items():
+            phrases.sort()
+            rows[0].append(group)
+            rows[1].append(lang)
+            rows[2].append(b"\n".join(phrases))  # no phrase has a line feed
+            rows[3].append(np.array([held[lang, p] for p in phrases], np.int64).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=[f.name for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes, int], int] = {}
+        held: dict[tuple[str, bytes], int] = {}
         for batch in batches:
             for chunk, data, names, hashes in _read(batch):
                 if not len(chunk.word):
                     continue
-                edge, size = chunk.edges(_passes(chunk.word, groups, shared.value), _passes(chunk.pairs(), groups, shared.value), longest)
+                edge, size = chunk.edges(lambda h: _passes(h, groups, shared.value), longest)
                 _, first, count = np.unique(edge, return_index=True, return_counts=True)
                 size = size[first]
                 start = chunk.found.start[first]
                 end = np.where(size > 0, chunk.found.end[first + np.maximum(size, 1) - 1], start)
                 language = dict(zip(hashes.tolist(), names, strict=True))
                 raw = _SHOWN[data].tobytes()
-                for h, a, b, n, c in zip(chunk.language[first].tolist(), start.tolist(), end.tolist(), size.tolist(), count.tolist(), strict=True):
+                for h, a, b, c in zip(chunk.language[first].tolist(), start.tolist(), end.tolist(), count.tolist(), strict=True):
                     phrase = raw[a:b]
                     if b"  " in phrase:
                         phrase = b" ".join(phrase.split())
-                    key = (language[h], phrase, n)
+                    key = (language[h], phrase)
                     held[key] = held.get(key, 0) + c
                 if len(held) >= HOLD_GRAMS:
                     yield write(held)
@@ -217,7 +256,18 @@ def _edges(texts: DataFrame, groups: int, table: np.ndarray, longest: int) -> Da
         if held:
             yield write(held)
 
-    return texts.mapInArrow(frugal(run), schema)
+    def merge(parts: pa.Table) -> pa.Table:
+        langs, phrases, counts = [], [], []
+        for lang, p, c in zip(*(parts.column(x).to_pylist() for x in ("lang", "phrases", "counts")), strict=True):
+            phrases += p.split(b"\n")
+            counts.append(np.frombuffer(c, np.int64))
+            langs += [lang] * len(counts[-1])
+        every = pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "c": pa.array(np.concatenate(counts))})
+        found = every.group_by(["lang", "phrase"]).aggregate([("c", "sum")])
+        size = pc.if_else(pc.equal(found.column("phrase"), ""), 0, pc.add(pc.count_substring(found.column("phrase"), " "), 1))
+        return pa.table({"lang": found.column("lang"), "phrase": found.column("phrase"), "size": size.cast(pa.int32()), "c": found.column("c_sum")})
+
+    return texts.mapInArrow(frugal(run), schema).groupBy("group").applyInArrow(merge, "lang string, phrase string, size int, c long")
 
 
 def _first(phrase: str, k: Column | int) -> Column:
@@ -244,10 +294,11 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     groups = min(1 << 30, 1 + size // 3 // GROUP)  # some two hashes for each six bytes
     keys = materialize(_frequent_keys(texts, groups, least), "collocation-keys")
-    table = _bit_table(keys)
-    edges = materialize(_edges(texts, groups, table, longest).groupBy("lang", "phrase", "size").agg(F.sum("c").alias("c")), "collocation-edges")
+    triples = materialize(_frequent_keys(texts, groups, least, _bit_table(keys)), "collocation-triples")
+    table = _bit_table(keys.unionByName(triples))
+    edges = materialize(_edges(texts, groups, table, longest), "collocation-edges")
     counts = materialize(flows(edges, longest).filter((F.col("f") >= least) | (F.col("size") == 0)), "collocation-counts")
-    for spent in (keys, edges):
+    for spent in (keys, triples, edges):
         discard(spent)
     return counts
 

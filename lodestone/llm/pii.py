@@ -9,8 +9,7 @@ stands in a context of e. The disclosure of e by t is
 
 the share of the entity's information that the term gives away: 1 if t occurs only near e. Terms from
 ``GENERALISE`` on are generalised, from ``REMOVE`` on removed. The counts are those of the whole corpus, no
-sample, so an entity of one document is judged as any other; only ``op1_pii``, whose SQL says so, leaves out
-pairs of fewer than ``SUPPORT`` documents.
+sample, and an entity of one document is judged as any other.
 
 Everything is DataFrame expressions: no Python runs on the executors. Only contexts, and those terms of
 the corpus that a bounded Bloom filter lets through, are shuffled.
@@ -44,7 +43,6 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CONTEXT = 80
 TERM_LETTERS = 4
-SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 
 _SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
@@ -192,13 +190,13 @@ def document_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame) -> D
     return counted.join(terms, "term")  # an inner join: Spark would push a semi join below the count
 
 
-def disclosures(near: DataFrame, docs: DataFrame, support: int = 1) -> DataFrame:
-    """Pairs (entity, term) of at least ``support`` documents with their disclosure, from GENERALISE on."""
+def disclosures(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (entity, term) with their disclosure, from GENERALISE on."""
     keys = docs.groupBy("__key").agg((F.count(F.lit(1)) - 1).alias("extra"))
     repeated = materialize(keys.filter("extra > 0"), "pii-repeated")
     total = max(1, docs.count() - (repeated.agg(F.sum("extra")).first()[0] or 0))
     seen = near.select("__key", "entity", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
+    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     pairs = materialize(pairs, "pii-pairs")
     n_e = near.select("__key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     n_t = document_counts(docs, pairs.select("term").distinct(), repeated)
@@ -209,7 +207,7 @@ def disclosures(near: DataFrame, docs: DataFrame, support: int = 1) -> DataFrame
     return joined.select("entity", "term", F.round(share, 9).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean_col: str | None = None, support: int = 1) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean_col: str | None = None) -> DataFrame:
     """``docs`` with pii_spans: all base and term spans, by start, then kind (email, ip, card, phone, term).
 
     A span is (start, ord, end, kind, value); start and end count code points, and a term's value is
@@ -222,7 +220,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     small = find_base(docs.select(F.col(id_col), F.col(text_col)).withColumn("__key", key), text_col)
     near = materialize(contexts(small), "pii-contexts")
     corpus = docs.select(key.alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    strong = disclosures(near, corpus, support)
+    strong = disclosures(near, corpus)
     span = F.struct(
         "start", F.lit(len(KINDS)).alias("ord"), "end", F.lit(TERM).alias("kind"),
         F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise")).alias("value"), "disclosure",
@@ -267,23 +265,18 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _report(spark: SparkSession, sf_dir: str, support: int) -> DataFrame:
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = F.col("pii_spans")
     kinds = F.transform(spans, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.filter(spans, lambda s: s["kind"] != TERM)
-    return sanitise(docs, support=support).select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(spans).alias("spans"))
-
-
-def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it: terms of pairs with SUPPORT documents only."""
-    return _report(spark, sf_dir, SUPPORT)
+    return sanitise(docs).select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(spans).alias("spans"))
 
 
 def op1_pii_any_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole method, as in the pipeline: entities of one document are judged too."""
-    return _report(spark, sf_dir, 1)
+    """The same, under the name that it had beside a form for pairs of two documents."""
+    return op1_pii(spark, sf_dir)
 
 
 _PATTERNS = {
@@ -298,7 +291,7 @@ _RAW = "\n  UNION ALL\n".join(
 )
 
 
-def _oracle(support: int) -> str:
+def _oracle() -> str:
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, dense_rank() OVER (ORDER BY doc_id, coalesce(text, '')) AS did, doc_id, coalesce(text, '') AS t FROM documents
@@ -335,7 +328,7 @@ WITH d AS (
   WHERE length(value) >= {TERM_LETTERS} AND NOT (cut_left AND stop - length(value) = a) AND NOT (cut_right AND stop = z)
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = located.rid AND b.start < located.stop AND b.stop > located.stop - length(located.value))
 ), pairs AS (
-  SELECT entity, term, count(DISTINCT did) AS n_te FROM near JOIN d USING (rid) GROUP BY ALL HAVING count(DISTINCT did) >= {support}
+  SELECT entity, term, count(DISTINCT did) AS n_te FROM near JOIN d USING (rid) GROUP BY ALL
 ), ne AS (
   SELECT entity, count(DISTINCT did) AS n_e FROM near JOIN d USING (rid) GROUP BY entity
 ), words AS (
@@ -364,5 +357,4 @@ FROM d LEFT JOIN joined USING (rid)
 """
 
 
-ORACLE_SQL = _oracle(SUPPORT)
-ANY_SUPPORT_SQL = _oracle(1)
+ORACLE_SQL = ANY_SUPPORT_SQL = _oracle()

@@ -5,6 +5,8 @@ import random
 import pandas as pd
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: A Thue-Morse word and its complement, which have one value under every polynomial hash modulo 2^64.
+TWINS = ["".join(pair[i.bit_count() % 2] for i in range(1024)) for pair in ("ab", "ba")]
 TABLES = ("documents", "benchmark", "pages", "labels")
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import token_counts, tool_calls
 
-from .helpers import documents, oracle, same, sentence, vocabulary, write
+from .helpers import TWINS, documents, oracle, same, sentence, vocabulary, write
 
-ODD = [None, "", " \n", "word", "x" * 20_000, "the cat " * 4000, "ΑΣ é 日本語 😀", "▁a ▁", "a\x00b"]
+ODD = [None, "", " \n", "word", "x" * 20_000, "the cat " * 4000, "ΑΣ é 日本語 😀", "▁a ▁", "a\x00b", *TWINS]
 
 
 # token counts

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, components, decontaminate, jaccard_join, langid, pii, spark_io, url_filter
 
-from .helpers import documents, oracle, same, sentence, vocabulary, write
+from .helpers import TWINS, documents, oracle, same, sentence, vocabulary, write
 
-ODD = [None, "", " ", "\n", "word", "x" * 30_000, "a b c d e f g h i j k " * 900]
+ODD = [None, "", " ", "\n", "word", "x" * 30_000, "a b c d e f g h i j k " * 900, *TWINS]
 
 
 # Bloom filter and components

@@ -200,7 +200,7 @@ def test_collocations_equal_brute_force_and_sql(spark, tmp_path, monkeypatch):
     result = queries()["op12_collocations"](spark, folder)
     assert sorted(tuple(r) for r in result.collect()) == want and len(want) > 20
     same(result, oracle(oracle_sql()["op12_collocations"], folder, ["documents"]), "phrase")
-    for name, value in (("CHUNK", 300), ("HOLD", 100), ("HOLD_GRAMS", 20), ("GROUP", 500), ("MIN_BITS", 64), ("MAX_BITS", 128)):
+    for name, value in (("CHUNK", 300), ("HOLD", 100), ("HOLD_GRAMS", 20), ("GROUP", 500), ("MIN_BLOCKS", 1), ("MAX_BLOCKS", 2)):
         monkeypatch.setattr(collocations, name, value)  # many parts, and a bit table that lets through nearly all
     small = collocations.mine_collocations(docs.repartition(5), longest=4, least=40, top=30)
     assert sorted(tuple(r) for r in small.collect()) == brute_collocations([(r[2], r[1]) for r in rows], 4, 40, 30)

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, host_rules, langid, quality_fm
 from lodestone.llm.words import chunks
 
-from .helpers import documents, oracle, same, sentence, vocabulary, write
+from .helpers import TWINS, documents, oracle, same, sentence, vocabulary, write
 
-ODD = [None, "", " ", "\n\n", "a", "x" * 20_000, "the cat " * 4000, "<|endoftext|>hi<|startoftext|>", "ΑΣ İstanbul é", "日本語 テスト", "I'll don't 'S", "²½ªº\x1c\x85"]
+ODD = [None, "", " ", "\n\n", "a", "x" * 20_000, "the cat " * 4000, "<|endoftext|>hi<|startoftext|>", "ΑΣ İstanbul é", "日本語 テスト", "I'll don't 'S", "²½ªº\x1c\x85", *TWINS]
 
 
 @pytest.fixture(scope="module")
