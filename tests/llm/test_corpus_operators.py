@@ -449,7 +449,7 @@ def brute_pipeline(spark, folder, rows, items):
         clean.append((i, "".join(out) + text[last:]))
 
     write(spark, folder / "clean", documents=documents(spark, clean))
-    spans = {r.doc_id: r.spans for r in oracle(pii._oracle(1), folder / "clean", ["documents"]).itertuples()}
+    spans = {r.doc_id: r.spans for r in oracle(pii._oracle(), folder / "clean", ["documents"]).itertuples()}
     strong = {(r["__key"], s.start): s.value for r in pii.sanitise(spark.read.parquet(f"{folder}/clean/documents.parquet")).withColumn("__key", F.col("doc_id")).collect() for s in r.pii_spans if s.kind == "term"}
     library = Tokenizer.from_file(bpe.default_vocabulary())
     found = []

@@ -264,7 +264,7 @@ def test_quality_on_held_out_rows(spark, good_and_bad, tmp_path):
     docs, labels = good_and_bad
     folder = write(spark, tmp_path, documents=docs, labels=labels)
     rows = quality_fm.op7_quality_fm(spark, folder).collect()
-    assert len(rows) == 913 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert len(rows) == 915 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id is not None and r.doc_id < 900]
     assert len(held) > 100 and sum(r.predicted == int(r.doc_id % 5 != 0) for r in held) >= 0.97 * len(held)
     assert len({r.score for r in rows if r.doc_id == 2000}) == 1
