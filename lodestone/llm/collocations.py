@@ -47,6 +47,8 @@ MIN_BLOCKS, MAX_BLOCKS, PROBES = 1 << 10, 1 << 20, 4
 #: Bytes of texts worked on together, and n-grams a task holds before it writes them.
 CHUNK, HOLD_GRAMS = 1 << 22, 200_000
 NO_LANGUAGE = "und"
+#: Languages whose numbers of words are broadcast.
+FEW_LANGUAGES = 10_000
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -318,6 +320,8 @@ def scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     cuts = cuts.select("*", _first("phrase", F.col("k")).alias("left"), _first("phrase", F.col("k") - F.col("size")).alias("right"))
     part = lambda name, to: counts.filter("size > 0").select("lang", F.col("phrase").alias(name), F.col("f").alias(to))
     total = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
+    if total.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES:
+        total = F.broadcast(total)  # so that phrases are not dealt by language
     joined = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).join(total, "lang")
     joined = joined.withColumns({"over": (F.lit(1000).cast("decimal(4,0)") * F.col("f").cast("decimal(15,0)") * exact("n")).cast("decimal(38,0)"), "under": (exact("l") * exact("r")).cast("decimal(38,0)")})
     joined = joined.withColumn("score", F.expr("over div under"))
