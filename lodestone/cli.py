@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators.embedding import load_provider
+from .operators.embedding import CHAIN, Retrying, first_provider
 from .plans import code_search
 
 STORE = ".lodestone"
@@ -25,7 +25,7 @@ def main(args: list[str] | None = None) -> int:
     for p in (embed, search, info):
         p.add_argument("-d", "--directory", default=".")
     for p in (embed, search):
-        p.add_argument("--provider", default="http")
+        p.add_argument("--provider", default=",".join(CHAIN), help="providers in order of preference, comma-separated")
         p.add_argument("--url", default="http://localhost:8080")
         p.add_argument("--model", default="default")
     asked = parser.parse_args(args)
@@ -40,7 +40,7 @@ def main(args: list[str] | None = None) -> int:
         row = meta.first()
         print(f"vectors: {row.num_chunks}\ndimensions: {row.dims}\nmodel: {row.model}")
         return 0
-    provider = load_provider(asked.provider, url=asked.url, model=asked.model)
+    provider = Retrying(first_provider(asked.provider.split(","), url=asked.url, model=asked.model))
     if asked.command == "embed":
         row = code_search.build(spark, root, store, provider).first()
         print(f"indexed {row.num_chunks} chunks")

@@ -79,3 +79,11 @@ class KeyNotFound(LoadError):
 
 class UnsupportedColumnType(LoadError):
     pass
+
+
+class NoProvider(LodestoneError, RuntimeError):
+    """No provider of a chain can be used."""
+
+
+class ModelMismatch(LoadError):
+    """An index of one model asked with vectors of another."""

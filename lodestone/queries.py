@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .functions import vectors as V
 from .options import IndexOptions
+from .operators.embed_store import embed_stored, key_of
 from .operators import chunking, evaluate, ivf, knn, results, topk, validate, zones
 from .plans.index import VectorIndex
 from .sources import code_files, tables
@@ -356,6 +357,25 @@ def search_result_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(joined).select("qid", "rank", F.col("file_path").alias("file"), lines.alias("lines"), "similarity", "preview")
 
 
+class LetterCounts:
+    """A provider that needs no model: how often a text has e, t and a."""
+
+    model_id = "letter-counts"
+
+    def get_embeddings(self, texts: list[str], task: str) -> list[list[float]]:
+        return [[float(t.count(c)) for c in "eta"] for t in texts]
+
+
+def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded through a store that already has those in English, from a run before."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    provider, path = LetterCounts(), shared.new_path(spark, "embeddings")
+    embed_stored(df.filter("lang = 'en'"), provider, path, "text", buckets=32)
+    found = embed_stored(df, provider, path, "text", buckets=32)
+    counts = [F.col("vec")[i].cast("long").alias(f"n_{c}") for i, c in enumerate("eta")]
+    return found.select("doc_id", key_of(F.col("text"), provider.model_id).alias("key"), *counts)
+
+
 def file_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which paths of the pages' URLs a code search would skip."""
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -380,7 +400,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f64_input_cast, l2_normalize_vectors, pad_to_multiple_of_8, columns_to_vector, vector_profile, dataframe_attach_label,
         batch_nested, medoid_row, kmeans_assign_once, kmeans_update_once, cluster_histogram_offsets, ivf_parameters, ivf_probe,
         ivf_candidates, ivf_search_label_centroids, recall_metrics, recall_summary, ivf_search_trained, chunk_small_documents,
-        chunk_sliding_documents, definition_boundaries, search_result_lines, file_predicates, index_info,
+        chunk_sliding_documents, definition_boundaries, search_result_lines, file_predicates, index_info, stored_embeddings,
         tree_search_trained, tree_recall_trained, zone_search, zone_reads, zone_map, parquet_row_numbers,
         search_result_chunks, cluster_order, ivf_recall_trained, rust_definitions, typed_definitions, python_definitions,
     ]
@@ -504,6 +524,10 @@ def oracle_sql() -> dict[str, str]:
         "definition_boundaries": r"""WITH c AS (SELECT page_id::VARCHAR AS file_path, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '(?i)\n(the|de) ', chr(10) || 'function ', 'g'), chr(10)) AS l FROM pages)
             , u AS (SELECT file_path, unnest(l) AS t, generate_subscripts(l, 1)::INT AS line FROM c)
             SELECT file_path, line FROM u WHERE regexp_matches(t, '^((export|default|async)\s+)*(class|function)[\s*]')""",
+        "stored_embeddings": """SELECT doc_id, sha256('letter-counts' || chr(0) || 'document' || chr(0) || coalesce(text, '')) AS key,
+            length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS n_e,
+            length(coalesce(text, '')) - length(replace(coalesce(text, ''), 't', '')) AS n_t,
+            length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'a', '')) AS n_a FROM documents""",
         "search_result_lines": f"""WITH {_UNIT}{_EXACT}, {_SMALL} SELECT qid, rank, file_path AS file, '1-' || end_line AS lines, round(s, 6) AS similarity, preview
             FROM exact JOIN small ON row_id = doc_id""",
         "file_predicates": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)

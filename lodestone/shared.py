@@ -45,9 +45,14 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path within it; for tasks."""
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+
+
 def table(path: str) -> ds.Dataset:
     """A written table; for tasks."""
-    where, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    where, inner = place(path)
     return ds.dataset(inner, filesystem=where, format="parquet")
 
 
