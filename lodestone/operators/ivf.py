@@ -127,9 +127,31 @@ def histogram(assigned: DataFrame) -> DataFrame:
     return counts.withColumn("begins", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long")))
 
 
+#: ``monotonically_increasing_id`` is the number of the task above so many bits, and the row's place in it below them.
+_TASK_BITS = 33
+
+
+def ranged(assigned: DataFrame) -> DataFrame:
+    """Rows in ranges of (cluster, row_id), written once: ``part`` in order of the ranges, ``within`` the place in the part.
+
+    A range may begin and end inside of a cluster, so a cluster with half of all rows is spread over many tasks.
+    """
+    n = F.monotonically_increasing_id()
+    ordered = assigned.repartitionByRange("cluster", "row_id").sortWithinPartitions("cluster", "row_id").withColumn("__n", n)
+    part, within = F.shiftright("__n", _TASK_BITS), F.col("__n").bitwiseAND(F.lit((1 << _TASK_BITS) - 1))
+    return shared.written(ordered.select(*assigned.columns, part.alias("part"), within.alias("within")), "cluster-order")
+
+
 def cluster_order(assigned: DataFrame) -> DataFrame:
-    """Rows of a cluster together, by row id."""
-    return assigned.repartitionByRange("cluster").sortWithinPartitions("cluster", "row_id")
+    """Add ``place``: each row's place when rows of a cluster stand together, by row id; from 0, without holes.
+
+    Places are those within a range plus the rows of the ranges before it, so no task sees a cluster whole.
+    """
+    rows = ranged(assigned)
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    begins = F.broadcast(counts.select("part", before.alias("begin")))
+    return rows.join(begins, "part").select(*assigned.columns, (F.col("begin") + F.col("within")).alias("place"))
 
 
 def probe(centroids: DataFrame, queries: DataFrame, probes: int) -> DataFrame:

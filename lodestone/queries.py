@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -160,12 +160,8 @@ def kmeans_update_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row's place when rows of a cluster stand together, by id: the cluster's begin plus the place within it."""
-    assigned = _label_centroids(spark, sf_dir)[2]
-    within = F.row_number().over(Window.partitionBy("cluster").orderBy("row_id")) - 1
-    placed = ivf.cluster_order(assigned.select("row_id", "cluster")).withColumn("within", within)
-    begins = F.broadcast(ivf.histogram(assigned).select("cluster", "begins"))  # MAX_LISTS rows
-    return placed.join(begins, "cluster").select("row_id", "cluster", (F.col("begins") + F.col("within")).alias("place"))
+    """Each row's place when rows of a cluster stand together, by id."""
+    return ivf.cluster_order(_label_centroids(spark, sf_dir)[2].select("row_id", "cluster"))
 
 
 def cluster_histogram_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,6 +444,15 @@ small AS (
          trim(replace(substr(text, 1, 100), chr(10), ' ')) AS preview
   FROM documents WHERE regexp_matches(text, '\S') AND length(text) <= 4000)"""
 
+#: Windows of the long texts of d (file_path, lines l): lines a + 1 to b.
+_WINDOWS = r"""
+            , t AS (SELECT file_path, l, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0)::BIGINT) AS total FROM d)
+            , w AS (
+              SELECT file_path, l, total, 0 AS a, least(len(l), 0 + greatest(1, len(list_filter(total, lambda s: s < total[1] + 4000)))) AS b FROM t
+              UNION ALL
+              SELECT file_path, l, total, na, least(len(l), na + greatest(1, len(list_filter(total[na + 1:], lambda s: s < total[na + 1] + 4000)))) FROM
+                (SELECT file_path, l, total, a + greatest(1, b - a - 5) AS na FROM w WHERE b < len(l)))"""
+
 
 def oracle_sql() -> dict[str, str]:
     top10 = f"WITH {_UNIT}{_EXACT} SELECT qid, rank, row_id, round(s, 6) AS similarity FROM exact"
@@ -512,13 +517,7 @@ def oracle_sql() -> dict[str, str]:
             round(avg(ndcg), 6) AS mean_ndcg FROM metrics""",
         "chunk_small_documents": f"WITH {_SMALL} SELECT file_path, 1::INT AS start_line, end_line, length(text)::INT AS n, preview FROM small",
         "chunk_sliding_documents": r"""WITH RECURSIVE d AS (SELECT '/docs/' || doc_id || '.txt' AS file_path, string_split(text, chr(10)) AS l FROM documents
-            WHERE length(text) > 4000 AND regexp_matches(text, '\S'))
-            , t AS (SELECT file_path, l, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0)::BIGINT) AS total FROM d)
-            , w AS (
-              SELECT file_path, l, total, 0 AS a, least(len(l), 0 + greatest(1, len(list_filter(total, lambda s: s < total[1] + 4000)))) AS b FROM t
-              UNION ALL
-              SELECT file_path, l, total, na, least(len(l), na + greatest(1, len(list_filter(total[na + 1:], lambda s: s < total[na + 1] + 4000)))) FROM
-                (SELECT file_path, l, total, a + greatest(1, b - a - 5) AS na FROM w WHERE b < len(l)))
+            WHERE length(text) > 4000 AND regexp_matches(text, '\S'))""" + _WINDOWS + r"""
             SELECT file_path, (a + 1)::INT AS start_line, b::INT AS end_line, length(array_to_string(l[a + 1:b], chr(10)))::INT AS n,
             trim(replace(substr(array_to_string(l[a + 1:b], chr(10)), 1, 100), chr(10), ' ')) AS preview FROM w""",
         "definition_boundaries": r"""WITH c AS (SELECT page_id::VARCHAR AS file_path, string_split(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '(?i)\n(the|de) ', chr(10) || 'function ', 'g'), chr(10)) AS l FROM pages)
@@ -530,6 +529,11 @@ def oracle_sql() -> dict[str, str]:
             length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'a', '')) AS n_a FROM documents""",
         "search_result_lines": f"""WITH {_UNIT}{_EXACT}, {_SMALL} SELECT qid, rank, file_path AS file, '1-' || end_line AS lines, round(s, 6) AS similarity, preview
             FROM exact JOIN small ON row_id = doc_id""",
+        "search_result_chunks": f"WITH RECURSIVE {_UNIT}{_EXACT}, {_SMALL}" + r""", d AS (SELECT '/docs/' || doc_id || '.txt' AS file_path, string_split(text, chr(10)) AS l FROM documents
+            WHERE length(text) > 4000 AND regexp_matches(text, '\S') AND doc_id IN (SELECT row_id FROM exact))""" + _WINDOWS + r"""
+            , c AS (SELECT file_path, '1-' || end_line AS lines, preview FROM small
+              UNION ALL SELECT file_path, (a + 1) || '-' || b, trim(replace(substr(array_to_string(l[a + 1:b], chr(10)), 1, 100), chr(10), ' ')) FROM w)
+            SELECT qid, rank, file_path AS file, lines, round(s, 6) AS similarity, preview FROM exact LEFT JOIN c ON file_path = '/docs/' || row_id || '.txt'""",
         "file_predicates": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)
             SELECT page_id, regexp_matches(path, '(^|/)\.') AS hidden, regexp_matches(regexp_replace(path, '\.html$', '.pdf'), '\.(pdf|png|gz|zip|so|o|a|db)$') AS "binary",
             regexp_matches(path, '^(.*/)?(en|[^\n]*\.html|9[0-9].*)(/.*)?$') AS ignored FROM p""",

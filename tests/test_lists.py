@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluate, grid, knn, probing, tree, zones
+from lodestone.operators import evaluate, grid, ivf, knn, probing, tree, zones
 from lodestone.operators.ivf import prepare
 from lodestone.operators.topk import normalise_rows
 from lodestone.options import IndexOptions
@@ -122,3 +122,21 @@ def test_zone_maps_bound_their_rows(spark):
         assert z.n == len(own) and np.allclose(z.pivot, own.mean(axis=0))
         assert np.isclose(z.radius, np.linalg.norm(own - own.mean(axis=0), axis=1).max())
         assert (zones.reach(q, np.array([z.pivot]), np.array([z.radius]))[:, 0] >= (q @ own.T).max(axis=1)).all()
+
+
+@pytest.mark.parametrize("shuffle", [1, 6])
+def test_a_cluster_with_half_of_all_rows_is_spread_and_placed(spark, shuffle):
+    rows = [(i, 3 if i % 2 else i % 5) for i in range(4000)]
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else parts this small become one
+    try:
+        df = spark.createDataFrame(rows, "row_id long, cluster int").repartition(3, "row_id").withColumn("more", F.lit("x"))
+        tasks = ivf.ranged(df).filter("cluster = 3").groupBy("part").count().collect()
+        placed = ivf.cluster_order(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) >= shuffle // 2
+    in_order = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert [(r.row_id, r.cluster) for r in sorted(placed, key=lambda r: r.place)] == in_order and {r.place for r in placed} == set(range(4000))
+    assert placed[0].more == "x" and ivf.cluster_order(df.limit(0)).count() == 0
