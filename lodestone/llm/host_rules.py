@@ -4,7 +4,9 @@ Each text is measured once (words, symbols, repeated lines and word windows) and
 words, too many words in repeated 3-word windows, too many symbols, too many repeated lines. The first two
 are the base rules, which a document must pass. Failures are then summed by rule for each host (the ``source``
 column). For each rule the hosts' failure rates are shrunk with a beta prior fitted to all hosts by the method
-of moments, and documents of hosts whose shrunk rate exceeds ``HOST_LIMIT`` under any rule are not kept.
+of moments, and documents of hosts whose shrunk rate exceeds the rule's limit under any rule are not kept.
+The limit comes from the fitted prior: ``DEVIATIONS`` of its standard deviations above its mean, but at least
+``LEAST_LIMIT`` (a host that differs by little is no bad host, however sure that is) and at most ``HOST_LIMIT``.
 Shrinking keeps a host of two bad pages from being condemned. Rates are rounded to 9 places before they are
 compared, so that the order of sums decides nothing.
 
@@ -17,6 +19,7 @@ not shuffled; beyond that Spark joins by hash and splits skewed hosts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: More symbols than one in so many characters, and repeated lines than one in so many words, fail a text.
 SYMBOL_SHARE, LINE_SHARE = 10, 20
-#: A host is rejected beyond this shrunk failure rate.
-HOST_LIMIT = 0.5
+#: A host is rejected when its shrunk failure rate lies so many deviations of the prior above the prior's mean,
+#: and always beyond HOST_LIMIT, and never up to LEAST_LIMIT.
+DEVIATIONS, LEAST_LIMIT, HOST_LIMIT = 3.0, 0.35, 0.5
 BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
@@ -106,7 +110,10 @@ def measure_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def judge_hosts(measured: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """One row for each non-null host: n_docs, and for each rule n_failed_, rate_ (shrunk), and host_rejected."""
+    """One row for each non-null host: n_docs, and for each rule n_failed_, rate_ (shrunk), limit_, and host_rejected.
+
+    ``limit``: the highest limit of any rule.
+    """
     failed = [F.sum(F.col(f"failed_{r}").cast("long")).alias(f"n_failed_{r}") for r in RULES]
     hosts = measured.filter(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count(F.lit(1)).alias("n_docs"), *failed)
     rate = lambda r: F.col(f"n_failed_{r}") / F.col("n_docs")
@@ -116,9 +123,13 @@ def judge_hosts(measured: DataFrame, host_col: str = "source", limit: float = HO
         mean, var = F.col(f"mean_{r}"), F.col(f"var_{r}")
         weight = F.when(var > 0, mean * (1 - mean) / var - 1).otherwise(F.lit(PRIOR_WEIGHT[1]))
         weight = F.least(F.greatest(weight, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
-        judged = judged.withColumn(f"rate_{r}", F.round((mean * weight + F.col(f"n_failed_{r}")) / (weight + F.col("n_docs")), 9))
-    rejected = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > limit
-    return judged.select(host_col, "n_docs", *[f"{n}_{r}" for r in RULES for n in ("n_failed", "rate")], rejected.alias("host_rejected"))
+        far = mean + DEVIATIONS * F.sqrt(mean * (1 - mean) / (weight + 1))
+        judged = judged.withColumns({
+            f"rate_{r}": F.round((mean * weight + F.col(f"n_failed_{r}")) / (weight + F.col("n_docs")), 9),
+            f"limit_{r}": F.round(F.least(F.greatest(far, F.lit(LEAST_LIMIT)), F.lit(limit)), 9),
+        })
+    rejected = functools.reduce(lambda x, y: x | y, [F.col(f"rate_{r}") > F.col(f"limit_{r}") for r in RULES])
+    return judged.select(host_col, "n_docs", *[f"{n}_{r}" for r in RULES for n in ("n_failed", "rate", "limit")], rejected.alias("host_rejected"))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
@@ -172,7 +183,9 @@ WITH d AS (
 ), q AS (
   SELECT rule, mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 1000.0 END, 2.0), 1000.0) AS weight FROM p
 ), v AS (
-  SELECT source, max(round((mean * weight + bad) / (weight + n), 9)) > 0.5 AS rejected FROM h JOIN q USING (rule) GROUP BY source
+  SELECT source, bool_or(round((mean * weight + bad) / (weight + n), 9)
+           > round(least(greatest(mean + 3.0 * sqrt(mean * (1 - mean) / (weight + 1)), 0.35), 0.5), 9)) AS rejected
+  FROM h JOIN q USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR coalesce(rejected, false)) AS kept

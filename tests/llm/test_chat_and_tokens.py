@@ -53,6 +53,16 @@ def test_counts_of_documents(spark, monkeypatch, shard):
     assert token_counts.count_tokens(df.limit(0)).count() == 0
 
 
+def test_the_query_counts_whole_texts(spark, tmp_path):
+    rng, v = random.Random(9), vocabulary(9)
+    rows = [(i, sentence(rng, rng.randint(0, 60), v)) for i in range(30)] + [(100 + i, t) for i, t in enumerate(ODD)]
+    folder = write(spark, tmp_path, documents=documents(spark, rows))
+    pieces = token_counts.load_pieces(token_counts.default_vocabulary())
+    want = [(i, len(w := re.findall("[^\x20\x09-\x0d]+", t or "")), sum(naive_count("▁" + x, pieces) for x in w)) for i, t in rows]
+    got = token_counts.op9_token_counts(spark, folder)
+    assert got.columns == ["doc_id", "n_pretokens", "n_tokens"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # tool calls
 
 PLAIN = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=6)

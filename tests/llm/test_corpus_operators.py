@@ -216,15 +216,21 @@ def test_blocks_and_small_shards_change_nothing(spark, tmp_path, monkeypatch):
 def test_url_filter_equals_the_sql(spark, tmp_path):
     urls = ["http://a.com/x", "https://EXAMPLE.com/en/1", "http://www.example.com/en/1?x", "http://sub.www.example.com/en/", "http://x.example.net/es/1", "http://example.com", "http://com/", "http://notexample.com/en/", "x", None, "", "://", "http://spam-farm.example.org/en/1", "https://www.spam-farm.example.org/en/1.html#top", "https://m.spam-farm.example.org/en/1/", "http://fine.example.org/en/1", "http://a.org?x=http://b.com/", "http://free-bets.example.org/a/index.html", "http://h.org/p\n/q"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], ""), (None, urls[12], None)], "page_id long, url string, html string")
-    chosen = next(i for i in range(100, 1000) if hashlib.md5(str(i).encode()).hexdigest()[0] == url_filter.LISTED_DIGIT)
-    pages = pages.unionByName(spark.createDataFrame([(chosen, "https://m.spam-farm.example.org/en/1?x", "")], pages.schema))
+    digest = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    chosen = {what: next(i for i in range(100, 9000) if digest(i).startswith(start)) for what, start in url_filter.LISTED.items()}
+    assert not any(digest(i).startswith(tuple(url_filter.LISTED.values())) for i in (15, 17))
+    more = [(chosen["page"], "https://m.spam-farm.example.org/en/1?x"), (chosen["section"], "http://www.part.example.org/en/7"), (chosen["site"], "http://all.example.org/de/7")]
+    more += [(9100 + i, u) for i, u in enumerate(["http://part.example.org/en/", "http://m.part.example.org/en/x/y", "http://part.example.org/fr/7", "http://part.example.org/en", "https://all.example.org", "http://www.all.example.org/x", "http://sub.all.example.org/x", "http://all.example.com/de/7"]) if not digest(9100 + i).startswith(tuple(url_filter.LISTED.values()))]
+    pages = pages.unionByName(spark.createDataFrame([(i, u, "") for i, u in more], pages.schema))
     folder = write(spark, tmp_path, pages=pages)
     result = url_filter.op4_url_filter(spark, folder)
     same(result, oracle(url_filter.ORACLE_SQL, folder, ["pages"]), "page_id")
     by = {r.page_id: r for r in result.collect()}
     assert [by[i].verdict for i in range(9)] == ["allow", "block", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
-    assert by[12].verdict == by[13].verdict == by[14].verdict == by[chosen].verdict == by[None].verdict == "block" and by[15].verdict == by[17].verdict == "allow"
+    assert by[12].verdict == by[13].verdict == by[14].verdict == by[chosen["page"]].verdict == by[None].verdict == "block" and by[15].verdict == by[17].verdict == "allow"
     assert (by[9].host, by[9].path, by[9].rule) == ("", "", None)
+    wanted = {9100: "block", 9101: "block", 9102: "allow", 9103: "allow", 9104: "block", 9105: "block", 9106: "allow", 9107: "allow"}
+    assert len(more) > 8 and all(by[i].verdict == wanted[i] for i, _ in more[3:])
 
 
 def test_url_filter_on_nothing(spark):

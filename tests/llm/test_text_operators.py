@@ -240,6 +240,64 @@ def test_factorisation_equals_all_pairs():
     assert got[0] == pytest.approx(want, rel=1e-4)
 
 
+def naive_features(text):
+    """Feature number to value, by plain loops over one text."""
+    data = text.encode()
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", data)
+    _, bytes_, offsets = next(iter(chunks(pa.array([text]))))
+    hashed = [int(h) % quality_fm.BUCKETS for h in quality_fm.words(bytes_, offsets, quality_fm._WORDS).hashes()]
+    assert len(hashed) == len(found)
+    times = Counter(hashed)
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in times.values()))
+    out = {b: math.log1p(c) / norm for b, c in times.items()}
+    kinds = [rb"[a-z\x80-\xff]", rb"[A-Z]", rb"[0-9]", rb"[#*$%&<>]", rb"[|]", rb"[!]", rb"\n", rb"[^a-zA-Z0-9#*$%&<>|!\n\x80-\xff]"]
+    counts = [len(re.findall(k, data)) for k in kinds]
+    n = max(len(found), 1)
+    stats = [math.sqrt(c / max(len(data), 1)) for c in counts]
+    stats += [1 - len(times) / n, sum(map(len, found)) / n / 10, math.log1p(len(found) / (counts[6] + 1)) / 5, math.log1p(len(data)) / 10]
+    return out | {quality_fm.BUCKETS + i: quality_fm.STATISTICS_SCALE * x for i, x in enumerate(stats)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aB é\n\t#|!\x007語.", max_size=60), min_size=1, max_size=5), st.integers(1, 80))
+def test_features_equal_plain_loops(texts, limit):
+    for first, data, offsets in chunks(pa.array(texts), limit):
+        starts, numbers, values = quality_fm.features(data, offsets)
+        for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+            want = naive_features(texts[first + i])
+            assert sorted(numbers[a:b]) == sorted(want)
+            assert all(v == pytest.approx(want[k], rel=1e-5, abs=1e-6) for k, v in zip(numbers[a:b].tolist(), values[a:b], strict=True))
+
+
+def test_one_step_equals_numeric_gradients(monkeypatch):
+    """Adam's first step moves every weight by the rate, against the sign of its numeric gradient."""
+    for name, value in (("EPOCHS", 1), ("STEPS", 1), ("BATCH", 16)):
+        monkeypatch.setattr(quality_fm, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(np.arange(5, dtype=np.int32), rng.normal(size=5).astype(np.float32)) for _ in range(16)]
+    y = np.array([i % 3 == 0 for i in range(16)], np.float32)
+    start = quality_fm.FactorisationMachine(width=5, rank=2)
+    bias, w, v = math.log(6 / 10), start.w.astype(float), start.v.astype(float)
+
+    def loss(bias, w, v):
+        total = quality_fm.DECAY / 2 * ((w * w).sum() + (v * v).sum())
+        for (_, x), label in zip(rows, y, strict=True):
+            margin = bias + x @ w + sum(v[i] @ v[j] * x[i] * x[j] for i in range(5) for j in range(i))
+            total += (math.log1p(math.exp(margin)) - label * margin) / len(rows)
+        return total
+
+    after = quality_fm.FactorisationMachine(width=5, rank=2).fit(rows, y)
+    for old, new, swap in ((w, after.w, lambda z: (bias, z, v)), (v, after.v, lambda z: (bias, w, z))):
+        for at in np.ndindex(old.shape):
+            near = old.copy()
+            near[at] += 1e-5
+            slope = (loss(*swap(near)) - loss(bias, w, v)) / 1e-5
+            if abs(slope) > 1e-3:
+                assert new[at] - old[at] == pytest.approx(-quality_fm.RATE * np.sign(slope), rel=1e-2)
+    slope = (loss(bias + 1e-5, w, v) - loss(bias, w, v)) / 1e-5
+    assert after.bias - bias == pytest.approx(-quality_fm.RATE * np.sign(slope), rel=1e-2)
+
+
 def test_gradients_reduce_the_loss():
     rng = np.random.default_rng(4)
     rows = [(np.arange(6, dtype=np.int32), rng.normal(size=6).astype(np.float32)) for _ in range(400)]
@@ -338,3 +396,15 @@ def test_one_rule_is_enough_but_rules_do_not_add_up(spark):
     rows = [("marked", ("symbols",)) for i in range(60)] + [("some", (("few_words",), ("symbols",), ("dup_lines",))[i % 3]) for i in range(60)] + [(f"h{i}", ()) for i in range(30) for _ in range(20)]
     hosts = judged(spark, rows)
     assert hosts["marked"].host_rejected and not hosts["some"].host_rejected and hosts["marked"].rate_few_words < 0.1
+
+
+def test_limits_follow_the_prior(spark):
+    """Where hosts are alike, one that fails 45 in 100 is rejected; where many fail as often, it is not."""
+    fails = lambda host, n, of20: [(host, ("few_words",) if i % 20 < of20 else ()) for i in range(n)]
+    alike = [r for h in range(30) for r in fails(f"h{h}", 40, 1)]
+    hosts = judged(spark, alike + fails("other", 400, 9))
+    assert hosts["other"].host_rejected and sum(r.host_rejected for r in hosts.values()) == 1
+    assert hosts["other"].limit_few_words == 0.35 < hosts["other"].rate_few_words < 0.45
+    wide = [r for h in range(30) for r in fails(f"h{h}", 40, 1 if h % 2 else 9)]
+    assert not any(r.host_rejected for r in judged(spark, wide + fails("other", 400, 9)).values())
+    assert not any(r.host_rejected for r in judged(spark, alike + fails("other", 400, 6)).values())  # up to LEAST_LIMIT
