@@ -287,3 +287,18 @@ def test_every_hit_has_its_chunks(spark, tmp_path):
     assert sorted(found, key=str) == sorted(expected, key=str)
     assert {(x[0], x[1]) for x in found} == {(q, n) for q in (0, 20, 40) for n in range(1, 11)}
     assert any(x[3] and not x[3].startswith("1-") for x in found)
+
+
+def test_a_large_k_shuffles_no_pairs(spark):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(5000, 6)).astype(np.float32)
+    m[3000:3600] = m[7]  # ties
+    rows = tables.from_local(spark, m).repartition(3)
+    for k in (grid.WIDE, 1_000_000):
+        found = VectorIndex(rows, IndexOptions(enable_cache=False)).search(asked(spark, m[[7, 11, 3001]]), k)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the queries
+        ids, sims = results.to_numpy(found)
+        want, values = naive(m, m[[7, 11, 3001]], k)
+        assert ids.shape == (3, min(k, 5000)) and np.allclose(sims, values)
+        assert ids[0, :601].tolist() == [7, *range(3000, 3600)] and ids[2].tolist() == ids[0].tolist()
+        assert sorted(ids[1].tolist()[:4000]) == sorted(want[1].tolist()[:4000])
