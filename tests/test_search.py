@@ -302,3 +302,30 @@ def test_a_large_k_shuffles_no_pairs(spark):
         assert ids.shape == (3, min(k, 5000)) and np.allclose(sims, values)
         assert ids[0, :601].tolist() == [7, *range(3000, 3600)] and ids[2].tolist() == ids[0].tolist()
         assert sorted(ids[1].tolist()[:4000]) == sorted(want[1].tolist()[:4000])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_many_queries_are_no_rows(spark):
+    """top1_batch, exact_top10_sql and batch_nested: beyond a few queries pairs are made in blocks."""
+    m = np.random.default_rng(6).normal(size=(knn.FEW_QUERIES + 1, 8)).astype(np.float32)
+    rows = tables.from_local(spark, m)
+    assert "Join" in plan_of(knn.knn_sql(rows, asked(spark, m[:-1]), 1))
+    found = knn.knn_sql(rows, asked(spark, m), 1)
+    assert "Join" not in plan_of(found) and sorted((r.qid, r.row_id) for r in found.collect()) == [(i, i) for i in range(len(m))]
+
+
+def test_equal_rows_tie_wherever_they_stand():
+    r = np.random.default_rng(9)
+    for dims, n in ((3, 1001), (64, 517), (129, 2050)):
+        m, q = topk.normalise_rows(r.normal(size=(n, dims))), topk.normalise_rows(r.normal(size=(1500, dims)))
+        same = np.sort(r.choice(n, 90, replace=False))
+        m[same] = m[same[0]]
+        q[1400:] = m[same[0]] + 1e-3 * q[1400:]
+        top = grid.best_of(q, np.arange(n), m, 20)
+        assert (top.ids[1400:] == same[:20]).all() and (top.scores[1400:] == top.scores[1400:, :1]).all()
+        s = topk.products(q[:50], m)
+        want = np.lexsort((np.broadcast_to(np.arange(n), s.shape), -s), axis=1)[:, :20]
+        assert np.array_equal(top.ids[:50], want) and np.array_equal(top.scores[:50], np.take_along_axis(s, want, 1))
