@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import errors, queries, shared
-from lodestone.operators import chunking, evaluate, grid, ivf, knn, results, seeding, topk
+from lodestone.operators import chunking, evaluate, grid, ivf, knn, plane, results, seeding, topk
 from lodestone.options import IndexOptions
 from lodestone.plans.index import VectorIndex
 from lodestone.sources import tables
@@ -329,3 +329,42 @@ def test_equal_rows_tie_wherever_they_stand():
         s = topk.products(q[:50], m)
         want = np.lexsort((np.broadcast_to(np.arange(n), s.shape), -s), axis=1)[:, :20]
         assert np.array_equal(top.ids[:50], want) and np.array_equal(top.scores[:50], np.take_along_axis(s, want, 1))
+
+
+def test_two_dimensions_are_searched_by_angle(spark):
+    """columns_to_vector: as the grid finds, with copies, opposite directions and equal lengths."""
+    r = np.random.default_rng(2)
+    m = np.vstack([r.normal(size=(3000, 2)), np.tile([[3.0, 4.0]], (2500, 1)), [[-1, 0], [1, 0], [0, -1], [-1, -1e-7]], r.integers(1, 50, (500, 2))])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "row_id long, vec array<double>").repartition(4)
+    q = rows.filter("row_id % 37 = 0 or row_id between 5495 and 5510").select(F.col("row_id").alias("qid"), F.col("vec").alias("qvec"))
+    found, want = plane.plane_top(rows, q, 7).toPandas(), knn.knn_arrow(rows, q, 7, 2).toPandas()
+    by = ["qid", "rank"]
+    found, want = found.sort_values(by), want.sort_values(by)
+    assert found[by].values.tolist() == want[by].values.tolist() and np.allclose(found.similarity, want.similarity, rtol=0, atol=1e-14)
+    copies = want[want.similarity.groupby(want.qid).transform("nunique") > 1]
+    assert len(copies) and found[found.qid == 3004].row_id.tolist() == list(range(3000, 3007)) or 3004 not in set(found.qid)
+
+
+def test_probed_rows_are_ranked_in_blocks(spark):
+    """ivf_search_label_centroids, recall_metrics, recall_summary: pairs of queries and probed rows are no rows of a join."""
+    r = np.random.default_rng(8)
+    m = topk.normalise_rows(r.normal(size=(300, 5)))
+    assigned = spark.createDataFrame([(i, v, i % 4) for i, v in enumerate(m.tolist())], "row_id long, vec array<double>, cluster int")
+    q = assigned.filter("row_id < 9").select(F.col("row_id").alias("qid"), F.col("vec").alias("qvec"))
+    probes = spark.createDataFrame([(i, c) for i in range(9) for c in (i % 4, (i + 1) % 4)], "qid long, cluster int")
+    found = ivf.rerank(assigned, probes, q, 6)
+    assert "Join" not in plan_of(found)
+    ids, _ = results.to_numpy(found)
+    for i in range(9):
+        some = np.flatnonzero(np.isin(np.arange(300) % 4, [i % 4, (i + 1) % 4]))
+        assert ids[i].tolist() == some[np.argsort(-(m[some] @ m[i]), kind="stable")][:6].tolist()
+
+
+def test_nearest_centroids_hold_few_scores(monkeypatch):
+    """Training of ivf_search_trained and tree_search_trained: one batch by all candidates was over 1 GB."""
+    r = np.random.default_rng(4)
+    m, c = r.normal(size=(500, 4)), r.normal(size=(40, 4))
+    c[7] = c[3]
+    monkeypatch.setattr(topk, "NEAREST", 100)
+    best, score = topk.nearest(m, c)
+    assert np.array_equal(best, np.argmax(m @ c.T, axis=1)) and np.allclose(score, (m @ c.T).max(axis=1))
