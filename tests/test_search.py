@@ -368,3 +368,40 @@ def test_nearest_centroids_hold_few_scores(monkeypatch):
     monkeypatch.setattr(topk, "NEAREST", 100)
     best, score = topk.nearest(m, c)
     assert np.array_equal(best, np.argmax(m @ c.T, axis=1)) and np.allclose(score, (m @ c.T).max(axis=1))
+
+
+def test_a_large_k_writes_one_copy_of_the_rows(spark, monkeypatch):
+    """k_exceeds_rows: rows go to the shared folder in the type they have, without a shuffle, in row groups that a task can hold."""
+    m = np.random.default_rng(3).normal(size=(5000, 16)).astype(np.float32)
+    rows, paths = tables.from_local(spark, m).repartition(3), []
+    assert plan_of(grid.row_columns(rows, 5000, 16, False)).count("Exchange") == 1  # that of the test
+    monkeypatch.setattr(grid, "QUERY_BYTES", 8 * 16 * 300)
+    monkeypatch.setattr(shared, "new_path", lambda session, tag, of=shared.new_path: paths.append(of(session, tag)) or paths[-1])
+    found = knn.knn_arrow(rows, asked(spark, m[:2]), 5000, 16)
+    blocks = spark.read.parquet(paths[0])
+    assert len(paths) == 1 and blocks.selectExpr("sum(length(vectors))", "sum(length(ids))").first()[:] == (4 * m.size, 8 * len(m))
+    groups = [g.num_rows for f in shared.table(paths[0]).get_fragments() for g in f.row_groups]
+    assert groups == [1] * blocks.count() and len(groups) > 16
+    assert np.array_equal(results.to_numpy(found)[0], naive(m, m[:2], 5000)[0])
+
+
+@pytest.mark.parametrize(("k", "kind"), [(4200, "float"), (5000, "float"), (4999, "double")])
+def test_a_long_ranking_is_made_in_pieces(spark, monkeypatch, k, kind):
+    """k_exceeds_rows: one task held all of a query's ranking. Ties go on from one piece to the next."""
+    m = np.random.default_rng(4).normal(size=(5000, 6)).astype(np.float32)
+    m[1000:3500] = m[7]
+    rows = tables.from_local(spark, m).repartition(3).select("row_id", F.col("vec").cast(f"array<{kind}>").alias("vec"))
+    monkeypatch.setattr(grid, "RANKED_ROWS", 100)
+    want = sorted(map(tuple, knn.knn_arrow(rows, asked(spark, m[[7, 11, 40]]), k, 6).collect()))
+    monkeypatch.setattr(grid, "PIECE", 900)
+    monkeypatch.setattr(grid, "RANKED_BYTES", 64 * grid.rows_per_block(6, 1))  # two queries at once
+    assert sorted(map(tuple, knn.knn_arrow(rows, asked(spark, m[[7, 11, 40]]), k, 6).collect())) == want
+    assert [x[1] for x in want] == [*range(1, k + 1)] * 3
+    assert [x[2] for x in want[:2501]] == [7, *range(1000, 3500)]
+
+
+def test_a_ranking_sorts_ties_by_id():
+    r = np.random.default_rng(5)
+    for some in ([], [3.0], r.normal(size=50), r.integers(0, 3, 400) / 2, np.zeros(30), np.array([0.0, -0.0, 1.0, 0.0])):
+        scores, ids = np.asarray(some, np.float64), r.permutation(len(some))
+        assert np.array_equal(topk.ranking(scores, ids), np.lexsort((ids, -scores)))
